@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import make_importable
+
 #: Text handled at once inside a Python worker, in characters.
 SLICE_CHARS = 4_000_000
 
@@ -20,6 +22,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that the operators read, so that no other column can clash."""
+    make_importable(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
