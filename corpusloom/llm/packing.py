@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ class WordEncoder:
     No pre-token of this tokenizer spans white space, so that the ids of a text are those of its parts between blanks and line
     feeds, one after the other; parts and pre-tokens seen before come from caches of bounded size."""
 
-    PARTS, PIECES = 300_000, 400_000
+    PARTS, PIECES = 400_000, 500_000
     #: Lower-case pieces of these characters are merged as byte strings over an alphabet that tells a piece's last byte from others.
     LETTERS, MARKS = [*range(97, 123), *range(0xC3, 0xCA), *range(0x80, 0xC0)], [*range(33, 65), *range(91, 97), *range(123, 127)]
 
@@ -65,6 +66,7 @@ class WordEncoder:
         vocab, end = self.tokenizer.get_vocab(with_added_tokens=False), self.model.end_of_word_suffix
         self.mergers = [self.merger(vocab, end, alphabet) for alphabet in (self.LETTERS, self.MARKS)]
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the cache before this one, so that frequent parts stay
         self.pieces: dict[str, bytes] = {}
 
     def merger(self, vocab: dict[str, int], end: str, alphabet: list[int]) -> tuple:
@@ -110,12 +112,20 @@ class WordEncoder:
             return b"".join(map(cache.__getitem__, parts))
         except KeyError:
             if len(cache) >= self.PARTS:
-                cache.clear()
+                self.older, cache = cache, {}
+                self.parts = cache
+            older = self.older
             for p in [p for p in set(parts) if p not in cache]:
-                cache[p] = self.part(p)
+                cache[p] = older[p] if p in older else self.part(p)
             return b"".join(map(cache.__getitem__, parts))
 
 
+@lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that its caches outlive a task."""
+    return WordEncoder(path)
+
+
 class Packer:
     """Waiting pieces, and the sequences made of them."""
 
@@ -206,7 +216,7 @@ def pack(examples: Iterator[tuple], limits: Limits, window: int) -> Iterator[lis
     yield from packer.ready(True)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), window: int = 256, terminator: int = 1, encoder: Callable = WordEncoder) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), window: int = 256, terminator: int = 1, encoder: Callable = word_encoder) -> DataFrame:
     """A row for each piece: its document, place in the document's ids, ids (little-endian unsigned 32-bit), sequence and offset there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +232,7 @@ def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits = L
     """Instruction data (conv_id, turn, role, text): every turn is an example, and only turns of loss_role bear loss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(tokenizer_path), np.array([1], dtype="<u4").tobytes()
+        encode, end = word_encoder(tokenizer_path), np.array([1], dtype="<u4").tobytes()
 
         def examples() -> Iterator[tuple]:
             for b in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, licenses, packing, substring_dedup, suffix_dedup, tiff
+from . import bpe_codec, licenses, ngram_join, packing, substring_dedup, suffix_dedup, tiff
 from .base import documents
 
 
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("class_id")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_earlier_strings(documents(spark, sf_dir))
     return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,7 +52,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_suffix_dedup, op6_license_scan, op7_tiff, op8_substring_dedup, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op4_suffix_dedup, op6_license_scan, op7_tiff, op8_substring_dedup, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
