@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, licenses, ngram_join, packing, substring_dedup, suffix_dedup, tiff
+from . import bpe_codec, exact_dedup, licenses, ngram_join, packing, sharding, substring_dedup, suffix_dedup, tiff
 from .base import documents
 
 
@@ -26,6 +26,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("class_id")
 
 
+def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(documents(spark, sf_dir), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_earlier_strings(documents(spark, sf_dir))
     return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -44,6 +49,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir)).drop("locator")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,8 +61,15 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op4_suffix_dedup, op6_license_scan, op7_tiff, op8_substring_dedup, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_kd_sharding, op4_suffix_dedup, op6_license_scan, op7_tiff, op8_substring_dedup, op9_exact_dedup, op10_bpe_codec)}
+
+
+#: Fixed value: exact dedup as SQL has it.
+EXACT_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS kept, sha256(norm) AS text_sha256 FROM t"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": EXACT_SQL}
