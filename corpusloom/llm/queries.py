@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, licenses, ngram_join, packing, sharding, substring_dedup, suffix_dedup, tiff
+from . import bpe_codec, exact_dedup, licenses, ngram_join, packing, sharding, substring_dedup, suffix_dedup, tiff, toxicity
 from .base import documents
 
 
@@ -36,6 +36,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+TOXIC = 0.3
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tagged = toxicity.tag(docs, toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return tagged.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("detections")
 
@@ -61,7 +71,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_kd_sharding, op4_suffix_dedup, op6_license_scan, op7_tiff, op8_substring_dedup, op9_exact_dedup, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_kd_sharding, op4_suffix_dedup, op5_toxicity, op6_license_scan, op7_tiff, op8_substring_dedup, op9_exact_dedup, op10_bpe_codec)}
 
 
 #: Fixed value: exact dedup as SQL has it.
