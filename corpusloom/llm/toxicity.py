@@ -181,7 +181,10 @@ def train(texts: list[str], labels: list[int], rounds: int = 80, max_tokens: int
         return None
     turn = np.argsort(np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)), kind="stable")
     texts, toxic = [texts[i] for i in turn], toxic[turn]
-    bounds, _, _, word, begin = tokens(texts)
+    slices = [tokens(texts[i : i + 200]) for i in range(0, len(texts), 200)]  # the bytes' symbols of a slice at once
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s[0]) for s in slices]))])
+    word, begin = np.concatenate([s[3] for s in slices]), [np.concatenate([s[4][k] for s in slices]) for k in range(len(BEGINNINGS))]
+    del slices
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     tables = [log_odds(b, doc, toxic, 4) for b in begin]
     keys, levels = np.concatenate([k for k, _ in tables]), np.concatenate([v for _, v in tables])
