@@ -5,9 +5,9 @@
    parts, a power of two near its size band, and keeps the XOR of each part's hashes: a differing shingle spoils one part at most, so
    that of s non-empty parts s - k agree. Under one order of all parts two such sets share one among the first k + 1 of each; the
    order puts parts with rare shingles first, by counters of all shingles in a table of fixed size, so that common passages don't meet.
-3. Classes that share a part are compared: first each with the least class of the part (a star); what is linked then is one component,
-   and only pairs across components are compared after that. A comparison bounds the symmetric difference from below by the Hamming
-   distance of parity bits, and decides by the sets themselves.
+3. Classes that share a part are compared: first each with the one head that it meets most often (a star, twice); what is linked then is
+   one component, and only pairs across components are compared after that. A comparison bounds the symmetric difference from below by
+   the Hamming distance of parity bits; what that leaves is decided by the sets themselves.
 4. The components of all links are the result.
 
 Defined cases: null and empty texts, and those of white space alone, have no set, no links and themselves as component; fewer words than a
@@ -193,35 +193,31 @@ def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x["sign"].view(np.int64)), pa.array(np.ascontiguousarray(x["cls"])), pa.array(x["n"].astype(np.int64)), pa.array(h)], names=["sign", "cls", "n", "head"])
 
 
-def parity(s: np.ndarray, bits: int) -> int:
-    """The parity sketch of a set as a number of so many bits."""
+def parity(s: np.ndarray) -> bytes:
+    """The parity sketch of a set, of 1 to 2 bits an element, 64 at least."""
+    bits = max(64, 1 << len(s).bit_length())
     odd = np.bincount((s & H.U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return int.from_bytes(np.packbits(odd.astype(np.uint8)).tobytes(), "big")
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def verify(how: Similarity) -> Callable:
-    """A partition of sets and of pairs of their classes: the pairs that link."""
+def apart(x: bytes, y: bytes) -> int:
+    """The Hamming distance of two sketches; the longer one is folded to the other's length, which keeps parities."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, bits = int.from_bytes(x, "big"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        a = a >> bits ^ a & (1 << bits) - 1
+    return (a ^ int.from_bytes(y, "big")).bit_count()
+
+
+def by_pair(decide: Callable) -> Callable:
+    """A partition of payloads (cls, n, payload) and of pairs of their classes: the pairs that decide() takes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {c: np.frombuffer(x, np.uint64) for c, x in zip(left.column("cls").to_pylist(), left.column("elements").to_pylist(), strict=True)}
-        parities: dict[int, int] = {}
-        a_out, b_out = [], []
-        for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True):
-            x, y = sets[a], sets[b]
-            small, large = min(len(x), len(y)), max(len(x), len(y))
-            if small * how.den < large * how.num:
-                continue
-            bits = max(64, 1 << (large.bit_length()))
-            for c, s in ((a, x), (b, y)):
-                if (c, bits) not in parities:
-                    parities[c, bits] = parity(s, bits)
-            apart = (parities[a, bits] ^ parities[b, bits]).bit_count()
-            if apart * (how.den + how.num) > (how.den - how.num) * (len(x) + len(y)):
-                continue
-            if how.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                a_out.append(a)
-                b_out.append(b)
-        return pa.table([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+        have = {c: (n, x) for c, n, x in zip(*(left.column(k).to_pylist() for k in ("cls", "n", "payload")), strict=True)}
+        taken = [(a, b) for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True) if decide(*have[a], *have[b])]
+        return pa.table([pa.array([a for a, _ in taken], pa.int64()), pa.array([b for _, b in taken], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -231,18 +227,44 @@ def elements(how: Similarity) -> Callable:
         for b in batches:
             for a in range(0, b.num_rows, 500):
                 x = b.slice(a, 500)
-                found = [(c, s.tobytes()) for c, s in zip(x.column(0).to_pylist(), shingle_sets(x.column(1).to_pylist(), how.shingle), strict=True) if len(s) and class_of(s) == c]  # a doc_id may have several texts
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([e for _, e in found], pa.binary())], names=["cls", "elements"])
+                found = [(c, s) for c, s in zip(x.column(0).to_pylist(), shingle_sets(x.column(1).to_pylist(), how.shingle), strict=True) if len(s) and class_of(s) == c]  # a doc_id may have several texts
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([parity(s) for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["cls", "n", "sketch", "elements"])
 
     return run
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame, how: Similarity, parts: int) -> DataFrame:
-    """Of distinct pairs (a, b) of classes, those that link. A set goes once to each partition of a where it is needed."""
-    placed = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int").alias("part"))
+#: From so many partners on, a class's pairs are dealt to several partitions.
+MANY, SPREAD = 256, 64
+
+
+def meeting(pairs: DataFrame, payloads: DataFrame, decide: Callable, parts: int) -> DataFrame:
+    """Of distinct pairs (a, b) of classes, those that decide() takes. A payload goes once to each partition that needs it."""
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).where(F.col("partners") > MANY).select("a", F.lit(SPREAD).alias("spread"))
+    dealt = pairs.join(many, "a", "left").withColumn("share", F.pmod("b", F.coalesce("spread", F.lit(1))))
+    placed = dealt.select("a", "b", F.pmod(F.xxhash64("a", "share"), F.lit(parts)).cast("int").alias("part"))
     wanted = placed.select(F.col("part").alias("home"), F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sent = wanted.join(sets, "cls").select("home", "cls", "elements")
-    return sent.groupBy("home").cogroup(placed.groupBy("part")).applyInArrow(verify(how), "a long, b long")
+    sent = wanted.join(payloads, "cls").select("home", "cls", "n", "payload")
+    return sent.groupBy("home").cogroup(placed.groupBy("part")).applyInArrow(by_pair(decide), "a long, b long")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, how: Similarity, parts: int) -> DataFrame:
+    """Of distinct pairs (a, b) of classes, those that link: sketches first, whole sets for what they leave."""
+
+    def maybe(n: int, x: bytes, m: int, y: bytes) -> bool:
+        return min(n, m) * how.den >= max(n, m) * how.num and apart(x, y) * (how.den + how.num) <= (how.den - how.num) * (n + m)
+
+    def surely(n: int, x: bytes, m: int, y: bytes) -> bool:
+        return how.linked(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)), n, m)
+
+    near = saved(meeting(pairs, sets.select("cls", "n", F.col("sketch").alias("payload")), maybe, parts), "near")
+    return saved(meeting(near, sets.select("cls", "n", F.col("elements").alias("payload")), surely, parts), "links")
+
+
+def across(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """Of (sign, cls, n), the signs whose classes are not one component yet, with each class's component and the least one with a class of it."""
+    labelled = shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("sign", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    ends = labelled.groupBy("sign").agg(F.min(F.struct("comp", "cls")).alias("lo"), F.max("comp").alias("hi"))
+    return labelled.join(ends.where("lo.comp != hi").select("sign", "lo"), "sign")
 
 
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
@@ -261,19 +283,25 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
 
     first = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     needed = shared.select("cls").distinct().join(first, "cls")
-    sets = saved(needed.withColumnRenamed("doc_id", "id").join(rows, F.col("id").eqNullSafe(F.col("doc_id"))).select("cls", "text").mapInArrow(elements(how), "cls long, elements binary"), "sets")
-
-    star = saved(shared.where("cls != head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    links = saved(linked_pairs(star, sets, how, parts), "links")
-    comp = components(links)
-    labelled = shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("sign", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
-    mixed = labelled.groupBy("sign").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sign")
-    open_ = saved(labelled.join(mixed, "sign"), "open")
+    sets = saved(needed.withColumnRenamed("doc_id", "id").join(rows, F.col("id").eqNullSafe(F.col("doc_id"))).select("cls", "text").mapInArrow(elements(how), "cls long, n long, sketch binary, elements binary"), "sets")
+
+    def stars(meetings: DataFrame) -> DataFrame:
+        """Of (cls, head), one for each meeting, the head that a class meets most often."""
+        often = meetings.groupBy("cls", "head").agg(F.count(F.lit(1)).alias("times"))
+        return often.groupBy("cls").agg(F.max_by("head", F.struct("times", "head")).alias("head")).select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
+
+    star = saved(stars(shared.where("cls != head").select("cls", "head")), "pairs")
+    links = linked_pairs(star, sets, how, parts)
+    open_ = saved(across(shared, components(links)), "open")
+    again = saved(stars(open_.where(F.col("comp") != F.col("lo.comp")).select("cls", F.col("lo.cls").alias("head"))).join(star, ["a", "b"], "left_anti"), "pairs")
+    links = saved(links.unionByName(linked_pairs(again, sets, how, parts)), "links")
+    open_ = saved(across(open_.select("sign", "cls", "n"), components(links)), "open")
     x, y = (open_.select("sign", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"comp{c}")) for c in "ab")
-    across = x.join(y, "sign").where((F.col("compa") != F.col("compb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * how.den >= F.greatest("na", "nb") * how.num))
-    rest = saved(across.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    more = saved(linked_pairs(rest, sets, how, parts), "links")
-    comp = components(links.unionByName(more)) if not more.isEmpty() else comp
+    fits = (F.col("compa") != F.col("compb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * how.den >= F.greatest("na", "nb") * how.num)
+    rest = x.join(y, "sign").where(fits).select("a", "b").distinct()
+    rest = saved(rest.join(star.unionByName(again), ["a", "b"], "left_anti"), "pairs")
+    links = saved(links.unionByName(linked_pairs(rest, sets, how, parts)), "links")
+    comp = components(links)
 
     named = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", "cls", F.coalesce("comp", "cls").alias("comp"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
