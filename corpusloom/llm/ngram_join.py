@@ -235,10 +235,14 @@ def elements(how: Similarity) -> Callable:
 
 #: From so many partners on, a class's pairs are dealt to several partitions.
 MANY, SPREAD = 256, 64
+#: Pairs for one partition: with sketches, with whole sets. The more partitions, the more often a payload is sent.
+SKETCH_PAIRS, SET_PAIRS = 50_000, 5_000
 
 
-def meeting(pairs: DataFrame, payloads: DataFrame, decide: Callable, parts: int) -> DataFrame:
-    """Of distinct pairs (a, b) of classes, those that decide() takes. A payload goes once to each partition that needs it."""
+def meeting(pairs: DataFrame, payloads: DataFrame, decide: Callable, each: int) -> DataFrame:
+    """Of distinct pairs (a, b) of classes, those that decide() takes. A payload goes once to each partition that needs it; there are as
+    many partitions as there are each pairs."""
+    parts = pairs.count() // each + 1
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).where(F.col("partners") > MANY).select("a", F.lit(SPREAD).alias("spread"))
     dealt = pairs.join(many, "a", "left").withColumn("share", F.pmod("b", F.coalesce("spread", F.lit(1))))
     placed = dealt.select("a", "b", F.pmod(F.xxhash64("a", "share"), F.lit(parts)).cast("int").alias("part"))
@@ -247,7 +251,7 @@ def meeting(pairs: DataFrame, payloads: DataFrame, decide: Callable, parts: int)
     return sent.groupBy("home").cogroup(placed.groupBy("part")).applyInArrow(by_pair(decide), "a long, b long")
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame, how: Similarity, parts: int) -> DataFrame:
+def linked_pairs(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
     """Of distinct pairs (a, b) of classes, those that link: sketches first, whole sets for what they leave."""
 
     def maybe(n: int, x: bytes, m: int, y: bytes) -> bool:
@@ -256,8 +260,8 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, how: Similarity, parts: int)
     def surely(n: int, x: bytes, m: int, y: bytes) -> bool:
         return how.linked(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)), n, m)
 
-    near = saved(meeting(pairs, sets.select("cls", "n", F.col("sketch").alias("payload")), maybe, parts), "near")
-    return saved(meeting(near, sets.select("cls", "n", F.col("elements").alias("payload")), surely, parts), "links")
+    near = saved(meeting(pairs, sets.select("cls", "n", F.col("sketch").alias("payload")), maybe, SKETCH_PAIRS), "near")
+    return saved(meeting(near, sets.select("cls", "n", F.col("elements").alias("payload")), surely, SET_PAIRS), "links")
 
 
 def across(shared: DataFrame, comp: DataFrame) -> DataFrame:
@@ -291,16 +295,16 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
         return often.groupBy("cls").agg(F.max_by("head", F.struct("times", "head")).alias("head")).select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
 
     star = saved(stars(shared.where("cls != head").select("cls", "head")), "pairs")
-    links = linked_pairs(star, sets, how, parts)
+    links = linked_pairs(star, sets, how)
     open_ = saved(across(shared, components(links)), "open")
     again = saved(stars(open_.where(F.col("comp") != F.col("lo.comp")).select("cls", F.col("lo.cls").alias("head"))).join(star, ["a", "b"], "left_anti"), "pairs")
-    links = saved(links.unionByName(linked_pairs(again, sets, how, parts)), "links")
+    links = saved(links.unionByName(linked_pairs(again, sets, how)), "links")
     open_ = saved(across(open_.select("sign", "cls", "n"), components(links)), "open")
     x, y = (open_.select("sign", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"comp{c}")) for c in "ab")
     fits = (F.col("compa") != F.col("compb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * how.den >= F.greatest("na", "nb") * how.num)
     rest = x.join(y, "sign").where(fits).select("a", "b").distinct()
     rest = saved(rest.join(star.unionByName(again), ["a", "b"], "left_anti"), "pairs")
-    links = saved(links.unionByName(linked_pairs(rest, sets, how, parts)), "links")
+    links = saved(links.unionByName(linked_pairs(rest, sets, how)), "links")
     comp = components(links)
 
     named = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", "cls", F.coalesce("comp", "cls").alias("comp"))
