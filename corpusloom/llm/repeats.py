@@ -285,9 +285,9 @@ def compare(w: Windows, find: Callable, parts: int) -> Callable:
         first = H.group_starts(head["m"][order])
         ends = [*first[1:].tolist(), len(order)]
         pending: list[int] = []
-        for k, (a, b) in enumerate(zip(first.tolist(), ends, strict=True)):  # whole minimizers, some 4 MB of symbols at once
+        for k, (a, b) in enumerate(zip(first.tolist(), ends, strict=True)):  # whole minimizers, some 800,000 symbols at once
             pending += order[a:b].tolist()
-            if k == len(ends) - 1 or len(pending) * w.size > 2_000_000:
+            if k == len(ends) - 1 or len(pending) * w.size > 500_000:
                 mine = np.array(pending)
                 pending = []
                 length = head["length"][mine].astype(np.int64)

@@ -19,21 +19,27 @@ from .repeats import Windows, removed
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of an array of symbols below 2**16, in the order of their first depth symbols at least; the end sorts first."""
-    n = len(text)
-    rank = text.astype(np.int64) + 1
-    have = 1
+    """Suffixes of an array of symbols below 2**9, in the order of their first depth symbols at least; the end sorts first."""
+    n, have = len(text), 7
+    padded = np.zeros(n + have, np.int64)
+    padded[:n] = text
+    key = padded[:n].copy()
+    for i in range(1, have):  # seven symbols to start from
+        key <<= 9
+        key |= padded[i : n + i]
     while True:
-        later = np.zeros(n, np.int64)
-        later[: max(0, n - have)] = rank[have:]
-        order = np.argsort(rank * (int(rank.max()) + 1) + later, kind="stable")
-        pair_new = np.ones(n, bool)
-        pair_new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (later[order[1:]] != later[order[:-1]])
+        order = np.argsort(key)
+        ordered = key[order]
+        new = np.ones(n, np.int64)
+        new[1:] = ordered[1:] != ordered[:-1]
+        ranks = np.cumsum(new)
+        if have >= depth or ranks[-1] == n:
+            return order
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(pair_new)
+        rank[order] = ranks
+        key = rank * (n + 1)
+        key[: max(0, n - have)] += rank[have:]
         have *= 2
-        if have >= depth or rank.max() == n:
-            return order
 
 
 def short_prefixes(bwt: np.ndarray, stop: int, barrier: int = 0) -> np.ndarray:
@@ -53,10 +59,10 @@ def short_prefixes(bwt: np.ndarray, stop: int, barrier: int = 0) -> np.ndarray:
         of = np.repeat(np.arange(len(lo)), width)
         at = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + lo[of]
         symbol = bwt[at].astype(np.int64)
-        pair = of[symbol != barrier] * 65536 + symbol[symbol != barrier]
-        if len(lo) < len(at):
-            pair = np.unique(pair)
-        of, symbol = pair >> 16, pair & 65535
+        extends = symbol != barrier
+        pair = symbol[extends] * len(lo) + of[extends]  # by symbol, so that the searches below go one way
+        pair = np.unique(pair) if len(lo) < len(at) else np.sort(pair)
+        symbol, of = np.divmod(pair, len(lo))
         lower = np.searchsorted(keys, symbol * (n + 1) + lo[of])
         upper = np.searchsorted(keys, symbol * (n + 1) + hi[of])
         fresh = ~known[upper]
@@ -91,6 +97,6 @@ def earlier(body: np.ndarray, head: np.ndarray, size: int) -> tuple[np.ndarray,
     return doc[gone], start[gone]
 
 
-def remove_earlier_strings(docs: DataFrame, length: int = 100, gram: int = 20) -> DataFrame:
+def remove_earlier_strings(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
     """A row for each document: its bytes, those removed, the removed spans and the bytes that stay."""
     return removed(docs, Windows(length, gram, False), True, earlier)
