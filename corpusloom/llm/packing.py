@@ -70,7 +70,7 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
 
     def merger(self, vocab: dict[str, int], end: str, alphabet: list[int]) -> tuple:
-        """The vocabulary's merges over an alphabet: a table from bytes to symbols, what marks the last one, and the rank merger."""
+        """The vocabulary's merges over an alphabet: its bytes, a table from them to symbols, what marks the last one, and the rank merger."""
         import tiktoken
 
         code = {b: i for i, b in enumerate(alphabet)}
@@ -85,24 +85,33 @@ class WordEncoder:
         for b in range(2 * last, 256):  # never used; the merger wants every byte
             ranks[bytes([b])] = 10_000_000 + b
         table = bytes(code.get(b, 0) for b in range(256))
-        return table, last, tiktoken.Encoding("merger", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return bytes(alphabet), table, last, tiktoken.Encoding("merger", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
+        """Ids of a lower-case pre-token; KeyError where its alphabet lacks one of its bytes."""
         found = self.pieces.get(piece)
         if found is None:
             if len(self.pieces) >= self.PIECES:
                 self.pieces.clear()
-            table, last, merge = self.mergers[not piece[0].isalpha()]
-            symbols = bytearray(piece.encode().translate(table))
+            alphabet, table, last, merge = self.mergers[not piece[0].isalpha()]
+            raw = piece.encode()
+            if unknown := raw.translate(None, alphabet):
+                raise KeyError(unknown)
+            symbols = bytearray(raw.translate(table))
             symbols[-1] += last
             found = self.pieces[piece] = array("I", merge(bytes(symbols))).tobytes()
         return found
 
     def part(self, part: str) -> bytes:
-        return b"".join(map(self.piece, self.split(part.lower()))) if _PLAIN(part) else self.whole(part)
+        if not _PLAIN(part):
+            return self.whole(part)
+        try:
+            return b"".join(map(self.piece, self.split(part.lower())))
+        except KeyError:  # contractions, signs and letters beyond the alphabets
+            return self.whole(part)
 
     def __call__(self, text: str) -> bytes:
         if any(t in text for t in self.added):

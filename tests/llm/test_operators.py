@@ -72,6 +72,15 @@ def test_packing(docs, none, rows):
     assert encoder(special) == encoder.whole(special)
 
 
+def test_packing_encoder_alphabets():
+    """Contractions, signs and letters whose bytes no merger's alphabet has."""
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert np.frombuffer(encoder("don't"), "<u4").tolist()[-1] == 713 and np.frombuffer(encoder("×"), "<u4").tolist() == [16165]
+    every = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x250)]]
+    for t in [*every, *(f"a{c}b" for c in every), *(f"{c}'S" for c in every), "it's we're I've I'm they'll he'd O'Brien's ''s 's 't", "2×3÷4 Ʒa Ʊ Ʉ Ⱥx"]:
+        assert encoder(t) == encoder.whole(t), t
+
+
 def test_packing_limits():
     rng = random.Random(2)
     examples = [(i, np.arange(n, dtype="<u4").tobytes(), n * (i % 2)) for i, n in enumerate(rng.randint(1, 500) for _ in range(300))]
