@@ -140,7 +140,8 @@ class Packer:
 
     def __init__(self, limits: Limits, window: int):
         self.limits, self.window = limits, window
-        size = 2 * window + 64
+        self.most = max(window, limits.segments)  # short pieces wait until they fill a sequence's segments
+        size = self.most + window + 64
         self.need = np.full(size, np.inf)  # tokens; a free slot needs infinitely many
         self.loss = np.zeros(size)
         self.held: list = [None] * size
@@ -190,8 +191,12 @@ class Packer:
         return out
 
     def ready(self, last: bool) -> Iterator[list[tuple]]:
-        """Sequences that can be closed; the last tokens go into sequences at powers of two, which need no padding."""
-        while self.tokens >= self.limits.tokens and (last or len(self.held) - len(self.free) > self.window):
+        """Sequences that can be closed, by tokens or, of short pieces, by segments; the last tokens go into sequences at powers of
+        two, which need no padding."""
+        while True:
+            waiting = len(self.held) - len(self.free)
+            if waiting <= self.most and not (self.tokens >= self.limits.tokens and (last or waiting > self.window)):
+                break
             yield self.sequence(self.limits.tokens)
         while last and self.tokens:
             yield self.sequence(min(self.limits.tokens, 1 << (self.tokens.bit_length() - 1)))

@@ -95,6 +95,23 @@ def test_packing_limits():
     assert seen == {i: len(b) // 4 for i, b, _ in examples}
 
 
+def test_packing_many_short(spark):
+    """More pieces wait than the window holds before there are tokens for a sequence."""
+    texts = [None, "", "one"]
+    short = spark.createDataFrame([(i, texts[i % 3]) for i in range(2000)], "doc_id bigint, text string").coalesce(1)
+    found = packing.pack_documents(short, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in found) == [(i, 1 + (i % 3 == 2)) for i in range(2000)]
+    sizes = Counter(r["sequence_id"] for r in found)
+    assert max(sizes.values()) == 256 and sum(n == 256 for n in sizes.values()) >= 6
+    turns = spark.createDataFrame([(i, 0, ("user", "assistant")[i % 2], texts[i % 3]) for i in range(2000)], "conv_id bigint, turn bigint, role string, text string").coalesce(1)
+    turns = packing.pack_conversations(turns, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted((r["doc_id"], r["loss_tokens"]) for r in turns) == [(i, (1 + (i % 3 == 2)) * (i % 2)) for i in range(2000)]
+    assert max(Counter(r["sequence_id"] for r in turns).values()) == 32
+    for limits, window in [(packing.Limits(2048, 256, 2048), 8), (packing.Limits(2048, 4, 3), 64), (packing.Limits(64, 256, 64), 16)]:
+        pieces = [p for s in packing.pack(((i, bytes(4 * (1 + i % 2)), i % 2) for i in range(3000)), limits, window) for p in s]
+        assert {p[0] for p in pieces} == set(range(3000)) and sum(len(p[2]) // 4 for p in pieces) == 4500
+
+
 def test_conversations(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi there"), (1, 1, "assistant", "hello"), (2, 0, None, None)], "conv_id bigint, turn bigint, role string, text string")
     found = packing.pack_conversations(turns, public_tokenizers.path("word_bpe_49k.json")).collect()
