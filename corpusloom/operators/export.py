@@ -7,13 +7,16 @@ import math
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.tokens import cosine
 from corpusloom.session import make_importable
+from corpusloom.sources.tables import saved
 
 
 def with_stats(vocab: DataFrame, stats: DataFrame) -> DataFrame:
@@ -107,6 +110,77 @@ def pairs(vectors: DataFrame, threshold: float, ident: str = "vec_id", vector: s
     return x.join(y, (x["g"] == y["g"]) & (x["a"] < y["b"])).select("a", "b", cosine(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def similar(xi: np.ndarray, x: np.ndarray, yi: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids a < b and similarities of two blocks' rows; same: the two are one block. A product of single precision, with more than its
+    error as a margin, finds the candidates, which are computed again in double precision."""
+    d = min(x.shape[1], y.shape[1])
+    x, y = x[:, :d].astype(np.float64), y[:, :d].astype(np.float64)
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    unit = lambda v, n: (v / np.sqrt(np.where(n == 0, 1.0, n))[:, None]).astype(np.float32)
+    ux, uy = unit(x, xx), unit(y, yy).T
+    least = threshold - (d + 8) * 2.5e-7
+    for at in range(0, len(x), 512):
+        rows, cols = np.nonzero(~(ux[at : at + 512] @ uy < least))
+        rows += at
+        keep = xi[rows] != yi[cols]
+        if same:
+            keep &= rows < cols
+        rows, cols = rows[keep], cols[keep]
+        for k in range(0, len(rows), 50_000):
+            i, j = rows[k : k + 50_000], cols[k : k + 50_000]
+            norm = np.sqrt(xx[i] * yy[j])
+            cos = np.where(norm == 0, -1.0, np.einsum("ij,ij->i", x[i], y[j]) / np.where(norm == 0, 1.0, norm))
+            hit = ~(cos < threshold)
+            a, b = xi[i[hit]], yi[j[hit]]
+            yield np.minimum(a, b), np.maximum(a, b), cos[hit]
+
+
+def all_pairs(vectors: DataFrame, threshold: float, ident: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """(a, b, similarity) of all rows at least so similar, a < b, whatever their groups.
+
+    Vectors are written as blocks of one length, a row for each, and every block meets every other: the comparisons grow with the
+    square of the rows, the rows of the join with that of the blocks. Null ids, null vectors and vectors with null elements have no
+    pairs; of two lengths the shorter counts, as in cosine()."""
+    spark = make_importable(vectors.sparkSession)
+    kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
+    rows = vectors.select(F.col(ident).cast("bigint").alias("i"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
+    rows = rows.where(F.col("i").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda e: e.isNull()))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 33
+
+        def out(d: int) -> pa.RecordBatch:
+            nonlocal number
+            held = waiting.pop(d)
+            number += 1
+            columns = [pa.array([number], pa.int64()), pa.array([d], pa.int32()), pa.array([np.array([i for i, _ in held], "<i8").tobytes()], pa.binary()), pa.array([np.stack([v for _, v in held]).astype(kind).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "d", "ids", "m"])
+
+        for b in batches:
+            ends, values = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy(zero_copy_only=False)
+            for i, start, end in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                held = waiting.setdefault(end - start, [])
+                held.append((i, values[start:end].copy()))
+                if len(held) >= block:
+                    yield out(end - start)
+        for d in list(waiting):
+            yield out(d)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                n, d, ids, m, n2, d2, ids2, m2 = (c[k].as_py() for c in b.columns)
+                x, y = np.frombuffer(m, kind).reshape(-1, d), np.frombuffer(m2, kind).reshape(-1, d2)
+                for found in similar(np.frombuffer(ids, "<i8"), x, np.frombuffer(ids2, "<i8"), y, threshold, n == n2):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "similarity"])
+
+    blocks = saved(rows.repartition(max(1, -(-rows.count() // block))).mapInArrow(packed, "block bigint, d int, ids binary, m binary"), "vectors")
+    other = blocks.select(*(F.col(c).alias(f"{c}2") for c in blocks.columns))
+    return blocks.join(other, F.col("block") <= F.col("block2")).mapInArrow(compared, "a bigint, b bigint, similarity double")
+
+
 def embeddings(vocab: list[tuple[str, int, float, list[float] | None]], size: int, seed: int) -> list[list[float]]:
     """A row for each token by id: its vector where it has the size, else normal numbers of deviation size**-0.5 / sqrt(count + 1)."""
     rng, out = random.Random(seed), []

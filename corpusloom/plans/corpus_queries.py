@@ -396,6 +396,13 @@ def dedupe_pairs_cosine(spark, sf):
     return export.pairs(vectors, 0.3, group="label").select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
+@register("dedupe_pairs_cosine_all", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 5) AS similarity FROM e x JOIN e y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.5""")
+def dedupe_pairs_cosine_all(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return export.all_pairs(vectors, 0.5).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
 SOURCES = "v AS (SELECT source AS token, row_number() OVER (ORDER BY source) - 1 AS id FROM (SELECT DISTINCT source FROM documents)), s AS (SELECT source AS token, count(*)::DOUBLE AS count FROM documents WHERE lang = 'en' GROUP BY source)"
 
 

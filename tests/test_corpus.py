@@ -1,11 +1,15 @@
 """Morphology, code, evaluation, export, formats and streams on small fixtures."""
 
 import json
+import math
 import os
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.operators import code, evaluate, export, histograms, morphology, sequences, telemetry
+from corpusloom.plans import catalogue, corpus_queries  # noqa: F401
 from corpusloom.sources import files, formats, sinks
 from corpusloom.streaming import leases, shards
 
@@ -118,3 +122,26 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert entry.oracle_sql().keys() <= entry.queries().keys() and len(entry.queries()) > 50
+
+
+def test_all_pairs(spark, tmp_path):
+    """Vectors of every label are compared, and those of all blocks and lengths."""
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], i % 3) for i in range(60)] + [(i, [1.0, 2.0, 3.0, 4.0], i % 3) for i in range(60, 70)]
+    rows += [(70, [1.0, 2.0], 0), (71, [], 1), (72, None, 1), (73, [0.0] * 4, 2), (74, [1.0, None, 3.0, 4.0], 0), (None, [1.0, 2.0, 3.0, 4.0], 0), (60, [1.0, 2.0, 3.0, 4.0], 1)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+
+    def cos(x, y):
+        n = min(len(x), len(y))
+        norm = math.sqrt(sum(p * p for p in x[:n]) * sum(q * q for q in y[:n]))
+        return sum(p * q for p, q in zip(x, y, strict=False)) / norm if norm else -1.0
+
+    whole = [(i, [float(np.float32(e)) for e in v]) for i, v, _ in rows if i is not None and v and None not in v]
+    want = sorted((min(i, j), max(i, j), round(cos(x, y), 5)) for k, (i, x) in enumerate(whole) for j, y in whole[k + 1 :] if i != j and cos(x, y) >= 0.5)
+    for block in (7, 2048):
+        assert sorted((r["a"], r["b"], round(r["similarity"], 5)) for r in export.all_pairs(vectors, 0.5, block=block).collect()) == want
+    assert export.all_pairs(vectors.limit(0), 0.5).count() == 0
+    vectors.where("size(embedding) = 4").write.parquet(f"{tmp_path}/embeddings.parquet")
+    label = {i: g for i, _, g in rows}
+    found = catalogue.queries()["dedupe_pairs_cosine_all"](spark, str(tmp_path)).collect()
+    assert any(label[r["a"]] != label[r["b"]] for r in found) and len(found) < len(want)
