@@ -371,9 +371,7 @@ def word_meta_patterns(spark, sf):
 
 @register("meta_reduction")
 def meta_reduction(spark, sf):
-    short, metas = code.compressed(turn_words(spark, sf), 4, 3)
-    frame = spark.createDataFrame([(k, v) for k, v in metas.items()] or [("", [])], "name string, pattern array<string>")
-    return code.reduction(short, frame)
+    return code.pattern_reduction(turn_words(spark, sf), 4, 3)
 
 
 @register("symbol_ids", f"""WITH {TURNS}, p AS (SELECT doc_id, unnest(l) AS name, unnest(generate_series(1, len(l))) AS pos FROM s), f AS (SELECT doc_id, name, min(pos) AS pos FROM p GROUP BY doc_id, name)

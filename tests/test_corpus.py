@@ -47,6 +47,24 @@ def test_code(spark):
     assert {r["doc_id"]: r["str_toks"] for r in short.collect()} == {1: ["META0", "META0"], 2: ["X", "META0", "Y"]}
 
 
+def test_code_many_patterns(spark):
+    """A dictionary beyond the size that goes to every task gives the same as a small one."""
+    rng = random.Random(6)
+    rows = [(i, [rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))]) for i in range(80)] + [(80, None), (81, []), (None, list("abcabc")), (3, list("abab"))]
+    seqs = spark.createDataFrame(rows, "doc_id bigint, str_toks array<string>").repartition(3)
+    short, metas = code.compressed(seqs, 4, 2)
+    many, found = code.compressed(seqs, 4, 2, most=5)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["str_toks"])
+    assert len(metas) > 5 and found == metas and sorted(many.collect(), key=key) == sorted(short.collect(), key=key)
+    frame = spark.createDataFrame(list(metas.items()), "name string, pattern array<string>")
+    assert code.pattern_reduction(seqs, 4, 2).first()["reduction"] == code.reduction(short, frame).first()["reduction"] > 0
+    blocks = code.in_blocks(seqs, 100)
+    assert blocks.select("block").distinct().count() > 10
+    named = code.block_patterns(blocks, 4, 2).withColumn("name", F.to_json("pattern"))
+    assert sum(len(r["str_toks"]) for r in code.rewritten_in_blocks(blocks, named).collect()) == sum(len(r["str_toks"]) for r in short.collect())
+    assert code.pattern_reduction(seqs.limit(0), 4, 2).first()["reduction"] == 0.0
+
+
 def test_evaluation(spark):
     docs = spark.createDataFrame([(1, "abab"), (2, "")], "doc_id bigint, text string")
     report = evaluate.evaluate(spark, docs, {"ab": 256, "a": 97}, [(97, 98, 256)], language="tr")
