@@ -15,6 +15,8 @@ from; labels that contradict each other count as toxic; other columns are ignore
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,6 +36,8 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 LEVELS = (1.5, 2.5, 4.0)  # log odds from which evidence counts as weak, fair and strong
 STRONG = 2.5
 BLOCK = 64
+SLICE = 1_000_000
+_BREAK = re.compile(rb"[\x00-/:-@\[-`{-\x7f]")
 
 
 def lowered(text: str) -> bytes:
@@ -44,7 +48,11 @@ def lowered(text: str) -> bytes:
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Bounds of the texts in tokens, each token's start and end in bytes of its text, its word hash and those of its beginnings."""
-    raw = [lowered(t) for t in texts]
+    return raw_tokens([lowered(t) for t in texts])
+
+
+def raw_tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """tokens() of texts in lower case."""
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     off = BREAK[data]
     change = np.flatnonzero(off[1:] != off[:-1]) + 1
@@ -58,6 +66,27 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return bounds, start - offset, end - offset, word, begin
 
 
+def slices(raw: list[bytes], size: int = SLICE) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts with their numbers, about size bytes at once; a longer text comes as several, cut where no token is."""
+    numbers, held, total = [], [], 0
+    for i, text in enumerate(raw):
+        at = 0
+        while at < len(text) or not text:
+            gap = _BREAK.search(text, at + size - 1) if len(text) - at > size else None
+            end = gap.end() if gap else len(text)
+            numbers.append(i)
+            held.append(text[at:end])
+            total += end - at
+            if total >= size or len(held) >= 200:
+                yield numbers, held
+                numbers, held, total = [], [], 0
+            at = end
+            if not text:
+                break
+    if held:
+        yield numbers, held
+
+
 @dataclass
 class Lexicon:
     """Evidence by hash: sorted hashes and their levels, for words and for beginnings."""
@@ -155,13 +184,30 @@ def features(marginal: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_odds(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of hashes that at least so many toxic documents have, those with evidence and its level."""
+def once(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash of a document once, in order of hashes."""
     order = np.lexsort((doc, hashes))
     h, d = hashes[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, t = h[new], toxic[d[new]]
+    return h[new], d[new]
+
+
+def drawn(lengths: np.ndarray, places: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document the start and the length of a run of tokens, most together: all of short ones and equally many of the others,
+    which start where the hashes in places say."""
+    low, high = 1, max(1, int(lengths.max(initial=1)))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if np.minimum(lengths, middle).sum() <= most else (low, middle - 1)
+    n = np.minimum(lengths, low)
+    return places % (lengths - n + 1), n
+
+
+def log_odds(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashes that at least so many toxic documents have, those with evidence and its level."""
+    h, d = once(hashes, doc)
+    t = toxic[d]
     start = H.group_starts(h)
     if not len(start):
         return np.empty(0, H.U), np.empty(0, np.int64)
@@ -175,28 +221,40 @@ def log_odds(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: int)
 def train(texts: list[str], labels: list[int], rounds: int = 80, max_tokens: int = 150_000) -> Model | None:
     """A model of labelled texts; None without texts of both kinds.
 
-    The lexicon and the documents' score are fitted on all of them, the field on max_tokens tokens, of both kinds in turn."""
+    The lexicon and the documents' score are fitted on all of them and on whole texts, the field on max_tokens tokens:
+    a run of each text, equally long but for shorter texts."""
     toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
         return None
     turn = np.argsort(np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)), kind="stable")
     texts, toxic = [texts[i] for i in turn], toxic[turn]
-    slices = [tokens(texts[i : i + 200]) for i in range(0, len(texts), 200)]  # the bytes' symbols of a slice at once
-    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s[0]) for s in slices]))])
-    word, begin = np.concatenate([s[3] for s in slices]), [np.concatenate([s[4][k] for s in slices]) for k in range(len(BEGINNINGS))]
-    del slices
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    tables = [log_odds(b, doc, toxic, 4) for b in begin]
+    raw = [lowered(t) for t in texts]
+    pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(1 + len(BEGINNINGS))]
+    for numbers, held in slices(raw):
+        at, _, _, word, begin = raw_tokens(held)
+        doc = np.repeat(np.array(numbers, np.int32), np.diff(at))
+        for found, hashes in zip(pairs, [word, *begin], strict=True):
+            found.append(once(hashes, doc))
+    counted = [tuple(np.concatenate(x) for x in zip(*found, strict=True)) for found in pairs]
+    del pairs
+    tables = [log_odds(h, d, toxic, 4) for h, d in counted[1:]]
     keys, levels = np.concatenate([k for k, _ in tables]), np.concatenate([v for _, v in tables])
     order = np.argsort(keys)
-    lexicon = Lexicon(log_odds(word, doc, toxic, 3), (keys[order], levels[order]))
-    evidence = lexicon.evidence(word, begin)
-    strong = np.maximum(evidence // 4, evidence % 4) >= 1 + LEVELS.index(STRONG)
-    target = strong & toxic[doc]
-    first = np.zeros(len(doc), bool)
-    first[bounds[:-1][np.diff(bounds) > 0]] = True
-    n = min(len(doc), max_tokens)
-    e, y, f = evidence[:n], target[:n].astype(np.int64), first[:n]
+    lexicon = Lexicon(log_odds(*counted[0], toxic, 3), (keys[order], levels[order]))
+    del counted
+    lengths, parts = np.zeros(len(raw), np.int64), []
+    for numbers, held in slices(raw):
+        at, _, _, word, begin = raw_tokens(held)
+        np.add.at(lengths, numbers, np.diff(at))
+        parts.append(lexicon.evidence(word, begin).astype(np.uint8))
+    evidence, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths)])
+    start, taken = drawn(lengths, np.array([zlib.crc32(t) for t in raw], np.int64), max_tokens)
+    n = int(taken.sum())
+    before = np.cumsum(taken) - taken
+    e = evidence[np.repeat(bounds[:-1] + start - before, taken) + np.arange(n)].astype(np.int64)
+    y = ((np.maximum(e // 4, e % 4) >= 1 + LEVELS.index(STRONG)) & np.repeat(toxic, taken)).astype(np.int64)
+    f = np.zeros(n, bool)
+    f[before[taken > 0]] = True
     seen = np.bincount(e, weights=y, minlength=16)
     inner = np.flatnonzero(~f)
     pair_seen = np.bincount(y[inner - 1] * 2 + y[inner], minlength=4).reshape(2, 2).astype(float)
@@ -210,7 +268,15 @@ def train(texts: list[str], labels: list[int], rounds: int = 80, max_tokens: int
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.99 * m2[k] + 0.01 * g * g
             value += 0.15 * (m1[k] / (1 - 0.9**r)) / (np.sqrt(m2[k] / (1 - 0.99**r)) + 1e-12)
-    x = features(model.marginals(evidence, first), bounds)
+    x, at = [], 0
+    while at < len(raw):  # whole documents, some million tokens at once
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE, side="right")) - 1)
+        own = bounds[at : end + 1] - bounds[at]
+        first = np.zeros(own[-1], bool)
+        first[own[:-1][np.diff(own) > 0]] = True
+        x.append(features(model.marginals(evidence[bounds[at] : bounds[end]], first), own))
+        at = end
+    x = np.concatenate(x)
     for _ in range(30):  # Newton's steps of a logistic regression
         p = 1 / (1 + np.exp(-x @ model.score))
         w = np.maximum(p * (1 - p), 1e-6)
@@ -255,11 +321,11 @@ def tagger(model: Model | None) -> Callable:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model | None:
-    """A model of at most max_rows labelled rows, those of least hash; only such whose crc32(doc_id) mod 4 is not 2."""
+    """A model of at most max_rows labelled rows, those of least hash, whose whole texts come to the driver; only such whose crc32(doc_id) mod 4 is not 2."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     seen = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
     chosen = known.where(seen).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, 1_000_000).alias("text"), "toxic")
+    sample = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 

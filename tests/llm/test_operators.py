@@ -239,6 +239,26 @@ def test_toxicity(spark, docs, none):
     assert {r["score"] for r in toxicity.tag(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_long_texts(spark):
+    """Toxic words beyond the first million characters teach the lexicon, and one long text doesn't fill the field's sample."""
+    rng = random.Random(8)
+    clean = lambda n: " ".join(rng.choice(["the", "and", "you", "river", "cloud", "İx", "é"]) for _ in range(n))
+    filler = "calm " * 210_000
+    texts = [f"{filler} stupid clown stupid" if i < 5 else clean(40) for i in range(60)]
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 4 != 2][:60]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    model = toxicity.fitted(docs, spark.createDataFrame([(d, int(i < 5)) for i, d in enumerate(ids)], "doc_id bigint, toxic int"))
+    assert {toxicity.tokens(["stupid clown"])[3][k] for k in range(2)} <= set(model.lexicon.word[0])
+    raw = [toxicity.lowered(t) for t in [*texts, "", "x" * 50]]
+    for size in (10, 1000, 10**6):
+        cut = list(toxicity.slices(raw, size))
+        assert [b"".join(h for ns, hs in cut for n, h in zip(ns, hs, strict=True) if n == i) for i in (0, 7, 60, 61)] == [raw[i] for i in (0, 7, 60, 61)]
+    words = [toxicity.raw_tokens(hs)[3] for _, hs in toxicity.slices(raw[:9], 100)]
+    assert np.array_equal(np.concatenate(words), toxicity.raw_tokens(raw[:9])[3])
+    start, n = toxicity.drawn(np.array([210_000, 5, 0, 900]), np.array([7**12, 3, 1, 10**9]), 150)
+    assert n.tolist() == [72, 5, 0, 72] and (start + n <= [210_000, 5, 0, 900]).all()
+
+
 def test_marginals():
     """Forward-backward by blocks against all state sequences."""
     rng = np.random.default_rng(2)
