@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,19 +36,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_CHARS) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of (doc_id, text, ...) batches, in slices of at most size characters, or a single longer text."""
+def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_CHARS, more: bool = False) -> Iterator[tuple]:
+    """Ids and texts of (doc_id, text, ...) batches, in slices of at most size characters, or a single longer text; more: the third column as well."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        lengths = [len(x) if x is not None else 0 for x in texts.to_pylist()] if batch.nbytes > size else None
-        if lengths is None:
-            yield ids, [x or "" for x in texts.to_pylist()]
-            continue
-        start = held = 0
-        for i, n in enumerate(lengths):
-            if i > start and held + n > size:
-                yield ids[start:i], [x or "" for x in texts[start:i].to_pylist()]
-                start, held = i, 0
-            held += n
-        if start < len(ids):
-            yield ids[start:], [x or "" for x in texts[start:].to_pylist()]
+        columns = [batch.column(0), batch.column(1), *([batch.column(2)] if more else [])]
+        bounds = [0, batch.num_rows]
+        if batch.nbytes > size:
+            bounds, held = [0], 0
+            for i, n in enumerate(pc.coalesce(pc.utf8_length(columns[1]), 0).to_pylist()):
+                if i > bounds[-1] and held + n > size:
+                    bounds.append(i)
+                    held = 0
+                held += n
+            bounds.append(batch.num_rows)
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if a < b:
+                keys, texts, *rest = (c.slice(a, b - a).to_pylist() for c in columns)
+                yield keys, [x or "" for x in texts], *rest

@@ -6,6 +6,7 @@ hash of any window in constant time, and a mixer spreads it."""
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
@@ -34,6 +35,8 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 BYTE_SYMBOLS = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+#: Words of more bytes are digested instead: powers modulo 2**64 have long strings (Thue-Morse ones) that always clash.
+LONG_WORD = 127
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -70,6 +73,8 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     at = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
     bounds = np.searchsorted(start, at)
     hashes = windows(prefix(BYTE_SYMBOLS[data]), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
     offset = np.repeat(at[:-1], np.diff(bounds))
     return hashes, bounds, start - offset, end - offset
 
