@@ -5,8 +5,8 @@ a short length are compared, and only those that recur are extended to twice tha
 none is left. A place that stands for several has all its windows repeated.
 
 Defined cases: null and empty text, and texts with fewer words than a window, lose nothing; an empty table gives no rows; rows that
-repeat a doc_id are one document; every one of equal texts of at least a window loses all its words; other columns are ignored; a
-null doc_id is a document of its own."""
+repeat a doc_id and a text are one document, and lose the same; rows of one doc_id, or of a null one, with unlike texts are documents
+of their own; every one of equal texts of at least a window, under unlike doc_ids, loses all its words; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from .repeats import Windows, removed
 
 
 def elsewhere(body: np.ndarray, head: np.ndarray, size: int, first_level: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Of the windows of the given places, those that occur at another place too, as documents and starts."""
+    """Of the windows of the given places, those that occur at another place too, as places and starts in the document."""
     length = head["length"].astype(np.int64)
     ends = np.cumsum(length)
     owner = np.repeat(np.arange(len(head)), length)
@@ -40,7 +40,7 @@ def elsewhere(body: np.ndarray, head: np.ndarray, size: int, first_level: int =
     alive = alive[~many[alive]]  # those are settled as a whole
     place = owner[alive]
     start = alive - (ends - length)[place]
-    return head["doc"][place], head["start"][place].astype(np.int64) + start
+    return place, head["start"][place].astype(np.int64) + start
 
 
 def remove_repeated_windows(docs: DataFrame, length: int = 35, gram: int = 6) -> DataFrame:

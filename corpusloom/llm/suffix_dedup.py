@@ -5,9 +5,10 @@ gives their Burrows-Wheeler transform, and intervals of it are extended backward
 common prefixes of the next value, and the rounds stop at the minimum length. What has no value by then is a common prefix of that
 length at least, so that the suffixes between set values are the equal windows; all but the earliest of each go.
 
-Defined cases: null and empty text, and texts shorter than the minimum, lose nothing; an empty table gives no rows; rows that repeat
-a doc_id are one document; of equal texts the smallest doc_id stays whole; a null doc_id comes before all others; other columns are
-ignored; matches are of bytes, and never cross documents."""
+Defined cases: null and empty text, and texts shorter than the minimum, lose nothing; an empty table gives no rows; rows that repeat a
+doc_id and a text are one document, and lose the same; rows of one doc_id with unlike texts are documents of their own, in order of a
+digest of the text; of equal texts the smallest doc_id stays whole; a null doc_id comes before all others; other columns are ignored;
+matches are of bytes, and never cross documents."""
 
 from __future__ import annotations
 
@@ -74,7 +75,7 @@ def short_prefixes(bwt: np.ndarray, stop: int, barrier: int = 0) -> np.ndarray:
 
 
 def earlier(body: np.ndarray, head: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the windows of the given places, those equal to one that starts earlier, as documents and starts."""
+    """Of the windows of the given places, those equal to one that starts earlier, as places and starts in the document."""
     length = head["length"].astype(np.int64)
     ends = np.cumsum(length + 1)
     text = np.zeros(int(ends[-1]), np.uint16)  # 0 ends every place
@@ -88,13 +89,14 @@ def earlier(body: np.ndarray, head: np.ndarray, size: int) -> tuple[np.ndarray,
     window = offset + size <= length[place]
     group = np.cumsum(short)[window]
     place, offset = place[window], offset[window]
-    doc, start = head["doc"][place], head["start"][place].astype(np.int64) + offset
-    ordered = np.lexsort((start, doc, group))
-    group, doc, start = group[ordered], doc[ordered], start[ordered]
+    start = head["start"][place].astype(np.int64) + offset
+    ordered = np.lexsort((start, head["key"][place], head["doc"][place], group))
+    group, place, start = group[ordered], place[ordered], start[ordered]
     first = H.group_starts(group)
-    of = np.repeat(first, np.diff(np.concatenate([first, [len(group)]])))
-    gone = (doc != doc[of]) | (start != start[of])
-    return doc[gone], start[gone]
+    of = place[np.repeat(first, np.diff(np.concatenate([first, [len(group)]])))]
+    gone = (head["doc"][place] != head["doc"][of]) | (head["key"][place] != head["key"][of])
+    gone |= start != np.repeat(start[first], np.diff(np.concatenate([first, [len(group)]])))
+    return place[gone], start[gone]
 
 
 def remove_earlier_strings(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:

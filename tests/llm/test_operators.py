@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from corpusloom.llm import bpe_codec, exact_dedup, licenses, ngram_join, packing, queries, sharding, substring_dedup, suffix_dedup, tiff, toxicity
+from corpusloom.llm import bpe_codec, exact_dedup, licenses, ngram_join, packing, queries, repeats, sharding, substring_dedup, suffix_dedup, tiff, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -178,7 +178,8 @@ def test_sharding(docs, none, rows):
     assert sharding.shard(none, 5).count() == 0
 
 
-def test_suffix_dedup(docs, none, rows):
+def without_earlier(rows):
+    """Of distinct (doc_id, text), in order: bytes, removed ones, spans and what stays."""
     seen, want = set(), {}
     for i, t in rows:
         b = (t or "").encode()
@@ -188,12 +189,81 @@ def test_suffix_dedup(docs, none, rows):
                 gone[s : s + 100] = True
             seen.add(b[s : s + 100])
         spans = re.findall(b"\1+", bytes(gone.astype(np.uint8)))
-        want[i] = (len(b), int(gone.sum()), len(spans), bytes(np.frombuffer(b, np.uint8)[~gone]))
-    got = {r["doc_id"]: (r["n_units"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in suffix_dedup.remove_earlier_strings(docs).collect()}
-    assert got == want
+        want[i, t or ""] = (len(b), int(gone.sum()), len(spans), bytes(np.frombuffer(b, np.uint8)[~gone]))
+    return want
+
+
+def without_repeated(rows):
+    split = {(i, t or ""): re.findall(WORD, t or "") for i, t in rows}
+    counts = Counter(tuple(w[s : s + 35]) for w in split.values() for s in range(len(w) - 34))
+    want = {}
+    for key, w in split.items():
+        gone = [False] * len(w)
+        for s in range(len(w) - 34):
+            if counts[tuple(w[s : s + 35])] > 1:
+                gone[s : s + 35] = [True] * 35
+        want[key] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    return want
+
+
+def cut_rows(cut, rows, by_words):
+    """What removed() gives, by doc_id and text; rows that repeat both must have one result."""
+    from corpusloom.llm.base import id_and_text
+
+    known = {}
+    for r in rows.transform(id_and_text).selectExpr("doc_id", "text", "xxhash64(text) AS key").distinct().collect():
+        known[r["doc_id"], r["key"]] = r["text"]
+    out = {}
+    for r in cut.collect():
+        found = (r["n_units"], r["n_removed"], bytes(r["kept"]).decode()) if by_words else (r["n_units"], r["n_removed"], len(r["spans"]), bytes(r["kept"]))
+        assert out.setdefault((r["doc_id"], known[r["doc_id"], r["key"]]), found) == found
+    return out
+
+
+def test_suffix_dedup(docs, none, rows):
+    assert cut_rows(suffix_dedup.remove_earlier_strings(docs), docs, False) == without_earlier(rows)
     assert suffix_dedup.remove_earlier_strings(none).count() == 0
 
 
+@pytest.mark.parametrize(("heavy", "hot"), [(64, 5000), (2, 5000), (64, 1), (3, 2)])
+def test_repeats_hot_minimizers(docs, rows, heavy, hot):
+    """Minimizers with many contents meet by digests of windows, in one task or another, and nothing changes."""
+    by_bytes, by_words = repeats.Windows(100, 32, False), repeats.Windows(35, 6, True)
+    assert cut_rows(repeats.removed(docs, by_bytes, True, suffix_dedup.earlier, heavy, hot), docs, False) == without_earlier(rows)
+    assert cut_rows(repeats.removed(docs, by_words, False, substring_dedup.elsewhere, heavy, hot), docs, True) == without_repeated(rows)
+
+
+def test_repeats_one_id_several_texts(spark):
+    """Rows that share a doc_id, or have none, and differ in their texts are documents of their own; repeated rows are one."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) + str(rng.randint(0, 99)) for _ in range(n))
+    passage = prose(60)
+    rows = [(7, f"{prose(5)} {passage}"), (7, "short"), (7, f"{passage} {prose(30)}"), (None, f"x {passage}"), (None, "y"), (None, None), (7, "short"), (8, passage), (8, passage), (9, f"{prose(40)}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    digest = {r["text"]: r["key"] for r in docs.selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS key").collect()}
+    distinct = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, digest[r[1]]))
+    assert cut_rows(suffix_dedup.remove_earlier_strings(docs), docs, False) == without_earlier(distinct)
+    got = substring_dedup.remove_repeated_windows(docs)
+    assert cut_rows(got, docs, True) == without_repeated(distinct) and got.count() == len(rows)
+
+
+def test_clashing_hashes(spark):
+    """Thue-Morse words of 1024 bytes, whose polynomial hashes modulo 2**64 are equal, are different words."""
+    def thue(a, b, n):
+        return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+    rng = random.Random(6)
+    prose = lambda: [f"w{rng.randint(0, 10**9)}" for _ in range(34)]
+    shared = prose()
+    rows = []
+    for n in (128, 256, 512, 1024, 4096):
+        rows += [(len(rows), " ".join([thue("a", "b", n), *shared])), (len(rows) + 1, " ".join([thue("b", "a", n), *shared]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert cut_rows(substring_dedup.remove_repeated_windows(docs), docs, True) == without_repeated(rows)
+    few = spark.createDataFrame([(0, thue("a", "b", 2048)), (1, thue("b", "a", 2048))], "doc_id bigint, text string")
+    assert {r["component_id"] for r in ngram_join.near_duplicates(few).collect()} == {0, 1}
+
+
 def test_interval_expansion():
     """Common prefixes below the bound, against a comparison of neighbours."""
     rng = np.random.default_rng(1)
@@ -209,15 +279,7 @@ def test_interval_expansion():
 
 
 def test_substring_dedup(docs, none, rows):
-    split = {i: re.findall(WORD, t or "") for i, t in rows}
-    counts = Counter(tuple(w[s : s + 35]) for w in split.values() for s in range(len(w) - 34))
-    got = {r["doc_id"]: (r["n_units"], r["n_removed"], bytes(r["kept"]).decode()) for r in substring_dedup.remove_repeated_windows(docs).collect()}
-    for i, w in split.items():
-        gone = [False] * len(w)
-        for s in range(len(w) - 34):
-            if counts[tuple(w[s : s + 35])] > 1:
-                gone[s : s + 35] = [True] * 35
-        assert got[i] == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    assert cut_rows(substring_dedup.remove_repeated_windows(docs), docs, True) == without_repeated(rows)
     assert substring_dedup.remove_repeated_windows(none).count() == 0
 
 
