@@ -159,12 +159,13 @@ def sketch(how: Similarity, counters, parts: int) -> Callable:
             r = np.concatenate(held)
             held.clear()
             seen.clear()
-            r = r[np.argsort(r["sign"], kind="stable")]
-            first = H.group_starts(r["sign"])
+            order = np.argsort(r["sign"], kind="stable")
+            first = H.group_starts(r["sign"][order])
             size = np.diff(np.concatenate([first, [len(r)]]))
-            heavy = np.repeat(size >= HEAVY, size)
+            heavy = np.empty(len(r), bool)
+            heavy[order] = np.repeat(size >= HEAVY, size)
             send = ~heavy
-            send[first] = True
+            send[order[first]] = True
             if heavy.any():
                 yield dealt(r[heavy], (r["cls"][heavy].view(H.U) % H.U(parts)).astype(np.int64), True)
             yield dealt(r[send], (r["sign"][send] % H.U(parts)).astype(np.int64), False)
