@@ -58,12 +58,18 @@ def windows(tokens: Column, n: Column | int) -> Column:
 
 
 def collapse(tokens: Column, left: int, right: int, new: int) -> Column:
-    """The trainer's merge: where a pair stands, its left becomes the new token and its right goes; a run of one token becomes one."""
-    at = lambda i: F.get(tokens, i)
-    gone = lambda x, i: F.coalesce((x == right) & (at(i - 1) == left), F.lit(False))
-    value = lambda x, i: F.when((x == left) & F.coalesce(at(i + 1) == right, F.lit(False)), F.lit(new)).otherwise(x)
-    tagged = F.transform(tokens, lambda x, i: F.when(gone(x, i), F.lit(-1)).otherwise(value(x, i)))
-    return F.filter(tagged, lambda x: x != -1)
+    """The trainer's merge: where a pair stands, its left becomes the new token and its right goes; a run of one token becomes one.
+
+    The tokens are bound once, as the element of an array of one, and zipped with their neighbours."""
+
+    def merged(x: Column) -> Column:
+        n, none = F.size(x), F.array(F.lit(None).cast("int"))
+        before, after = F.slice(F.concat(none, x), 1, n), F.concat(F.slice(x, 2, F.greatest(n - 1, F.lit(0))), none)
+        around = F.zip_with(before, after, lambda p, q: F.struct(F.coalesce(p == left, F.lit(False)).alias("l"), F.coalesce(q == right, F.lit(False)).alias("r")))
+        both = F.zip_with(x, F.slice(around, 1, n), lambda t, a: F.when((t == right) & a["l"], -1).when((t == left) & a["r"], new).otherwise(t))
+        return F.filter(both, lambda t: t != -1)
+
+    return F.get(F.transform(F.array(tokens), merged), F.lit(0))
 
 
 def greedy(tokens: Column, left: int, right: int, new: int) -> Column:

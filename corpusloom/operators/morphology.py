@@ -16,15 +16,32 @@ from corpusloom.session import make_importable
 SEGMENTS = "array<struct<surface:string,tags:array<string>,role:string>>"
 _ARROW = pa.list_(pa.struct([("surface", pa.string()), ("tags", pa.list_(pa.string())), ("role", pa.string())]))
 
-# Turkish letters of a word; suffixes in the order in which they are tried, with their tags.
+# The letters of a Turkish word.
 TURKISH_WORD = re.compile(r"[A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû']+")
+# Turkish case suffixes and their tags, in the order in which they are tried.
 TURKISH_CASES = [
-    ("lardan lerden", "AFFIX=PL CASE=ABL"), ("larda lerde", "AFFIX=PL CASE=LOC"), ("lara lere", "AFFIX=PL CASE=DAT"), ("dan den tan ten", "CASE=ABL"), ("yla yle la le", "CASE=INS"),
-    ("na ne ya ye a e", "CASE=DAT"), ("nın nin nun nün ın in un ün", "CASE=GEN"), ("ı i u ü", "CASE=ACC"),
-]
-TURKISH_AFFIXES = [("lar ler", "AFFIX=PL"), ("cı ci cu cü", "AFFIX=AGENT"), ("siz sız suz süz", "AFFIX=WITHOUT"), ("miş mış muş müş", "AFFIX=PAST")]
-# Scripts as character classes, tried in order.
-KANJI, HIRAGANA, KATAKANA, HANGUL = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}", r"\x{3040}-\x{309F}", r"\x{30A0}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9D}", r"\x{AC00}-\x{D7A3}"
+    (["lardan", "lerden"], ["AFFIX=PL", "CASE=ABL"]),
+    (["larda", "lerde"], ["AFFIX=PL", "CASE=LOC"]),
+    (["lara", "lere"], ["AFFIX=PL", "CASE=DAT"]),
+    (["dan", "den", "tan", "ten"], ["CASE=ABL"]),
+    (["yla", "yle", "la", "le"], ["CASE=INS"]),
+    (["na", "ne", "ya", "ye", "a", "e"], ["CASE=DAT"]),
+    (["nın", "nin", "nun", "nün", "ın", "in", "un", "ün"], ["CASE=GEN"]),
+    (["ı", "i", "u", "ü"], ["CASE=ACC"]),
+]
+# Other Turkish suffixes and their tags, in the order in which they are tried.
+TURKISH_AFFIXES = [
+    (["lar", "ler"], ["AFFIX=PL"]),
+    (["cı", "ci", "cu", "cü"], ["AFFIX=AGENT"]),
+    (["siz", "sız", "suz", "süz"], ["AFFIX=WITHOUT"]),
+    (["miş", "mış", "muş", "müş"], ["AFFIX=PAST"]),
+]
+# Scripts as ranges of code points, tried in order.
+KANJI = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF)]
+HIRAGANA = [(0x3040, 0x309F)]
+KATAKANA = [(0x30A0, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9D)]
+HANGUL = [(0xAC00, 0xD7A3)]
+LATIN = [(0x41, 0x5A), (0x61, 0x7A)]
 JAPANESE = [("SCRIPT=KANJI", KANJI), ("SCRIPT=HIRAGANA", HIRAGANA), ("SCRIPT=KATAKANA", KATAKANA)]
 KOREAN = [("SCRIPT=HANGUL", HANGUL)]
 #: What Python's str.isspace() knows beyond the regular expression's blanks.
@@ -54,17 +71,30 @@ def segmented(docs: DataFrame, language: str, **options) -> DataFrame:
     return _PLUGINS[language](docs, **options)
 
 
-def script_segments(text: Column, scripts: list[tuple[str, str]]) -> Column:
-    """Runs of one script as segments; every other character a separator."""
-    kinds = [*scripts, ("SCRIPT=LATIN", "A-Za-z"), ("SCRIPT=NUMERIC", DIGIT)]
-    runs = "|".join(f"[{c}]+" for _, c in kinds)
+def letters(ranges: list[tuple[int, int]]) -> str:
+    """The inside of a character class."""
+    return "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in ranges)
+
+
+def script_segments(text: Column, scripts: list[tuple[str, list[tuple[int, int]]]]) -> Column:
+    """Runs of one script as segments; every other character a separator.
+
+    A segment is told by its first code point alone; only those beyond ASCII and all scripts are held against classes of characters."""
+    named = [*scripts, ("SCRIPT=LATIN", LATIN)]
+    runs = "|".join([*(f"[{letters(r)}]+" for _, r in named), f"[{DIGIT}]+"])
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)({runs}|.)"), F.lit(1))
+    described = lambda s, tag, role: F.struct(s.alias("surface"), F.array(F.lit(tag)).alias("tags"), F.lit(role).alias("role"))
 
     def describe(s: Column) -> Column:
-        tag, role = F.when(s.rlike(f"^[{BLANK}]"), "CATEGORY=SPACE").otherwise("CATEGORY=PUNCT"), F.lit("separator")
-        for name, chars in reversed(kinds):
-            tag, role = F.when(s.rlike(f"^[{chars}]"), name).otherwise(tag), F.when(s.rlike(f"^[{chars}]"), "lexeme").otherwise(role)
-        return F.struct(s.alias("surface"), F.array(tag).alias("tags"), role.alias("role"))
+        point = F.ascii(s)
+        inside = lambda lo, hi: (point >= lo) & (point <= hi)
+        kinds = [(inside(0x61, 0x7A) | inside(0x41, 0x5A), "SCRIPT=LATIN", "lexeme"), (point == 0x20, "CATEGORY=SPACE", "separator"), (inside(0x30, 0x39), "SCRIPT=NUMERIC", "lexeme"), (inside(0x9, 0xD) | inside(0x1C, 0x1F), "CATEGORY=SPACE", "separator"), (point < 0x80, "CATEGORY=PUNCT", "separator")]
+        kinds += [(inside(lo, hi), name, "lexeme") for name, ranges in scripts for lo, hi in ranges]
+        kinds += [(s.rlike(f"^[{DIGIT}]"), "SCRIPT=NUMERIC", "lexeme"), (s.rlike(f"^[{BLANK}]"), "CATEGORY=SPACE", "separator")]
+        out = F.when(kinds[0][0], described(s, *kinds[0][1:]))
+        for condition, *what in kinds[1:]:
+            out = out.when(condition, described(s, *what))
+        return out.otherwise(described(s, "CATEGORY=PUNCT", "separator"))
 
     return F.transform(found, describe)
 
@@ -81,7 +111,7 @@ def korean(docs: DataFrame) -> DataFrame:
 
 def turkish_rules(case_markers: bool, affix_tags: bool) -> list[tuple[str, list[str], str]]:
     listed = [(c, "case") for c in TURKISH_CASES if case_markers] + [(a, "affix") for a in TURKISH_AFFIXES if affix_tags]
-    return [(suffix, tags.split(), role) for (suffixes, tags), role in listed for suffix in suffixes.split()]
+    return [(suffix, tags, role) for (suffixes, tags), role in listed for suffix in suffixes]
 
 
 def turkish_word(word: str, rules: list[tuple[str, list[str], str]]) -> list[tuple]:
@@ -122,9 +152,13 @@ def turkish(docs: DataFrame, case_markers: bool = True, affix_tags: bool = True)
     return docs.mapInArrow(run, f"{kinds}, segments {SEGMENTS}")
 
 
-def valid_text(payload: Column) -> Column:
-    """Bytes as text where they are UTF-8; null otherwise, for which the caller keeps a single untagged segment."""
-    return F.when(F.is_valid_utf8(payload.cast("string")), payload.cast("string"))
+def segmented_bytes(payloads: DataFrame, language: str, **options) -> DataFrame:
+    """segmented() of (…, payload binary): the segments of what is UTF-8; anything else is one segment without tags, shown as Latin-1."""
+    readable = F.is_valid_utf8(F.col("payload").cast("string"))
+    docs = payloads.withColumn("text", F.when(readable, F.col("payload").cast("string")))
+    whole = F.array(F.struct(F.decode("payload", "ISO-8859-1").alias("surface"), F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("role")))
+    kept = F.when(F.col("text").isNull() & F.col("payload").isNotNull(), whole).otherwise(F.col("segments"))
+    return segmented(docs, language, **options).withColumn("segments", kept).drop("text")
 
 
 def recomposed(segments: Column) -> Column:

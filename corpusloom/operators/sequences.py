@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.functions import tokens as K
 from corpusloom.session import make_importable
+from corpusloom.sources.tables import numbered
 
 
 def encode(docs: DataFrame, bos: int | None = None, eos: int | None = None, key: str = "doc_id") -> DataFrame:
@@ -44,11 +44,8 @@ def positions(seqs: DataFrame) -> DataFrame:
 
 
 def batches(seqs: DataFrame, size: int, order: str = "doc_id") -> DataFrame:
-    """With the number of the batch of size rows, by order. Ranks come of sorted runs and their offsets, so that no task sees all rows."""
-    ranged = seqs.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return ranged.join(before, "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_at")) / size).cast("bigint")).drop("_part", "_at", "_before")
+    """With the number of the batch of size rows, by order. No task sees all rows."""
+    return numbered(seqs, [order], "_number").withColumn("batch", F.floor(F.col("_number") / size).cast("bigint")).drop("_number")
 
 
 def shuffled(ids: list, seed: int) -> list:
@@ -94,7 +91,7 @@ class Augmentation:
         out, last = list(tokens), len(tokens) - 1
         for _ in range(round(self.strength * len(tokens))):
             i = rng.randrange(len(out))
-            j = min(last, max(0, i + (1 if rng.random() < 0.5 else -1)))
+            j = min(last, max(0, i + (-1 if rng.random() < 0.5 else 1)))
             out[i], out[j] = out[j], out[i]
         return out
 

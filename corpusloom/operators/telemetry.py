@@ -37,17 +37,29 @@ def blend(old: DataFrame, new: DataFrame, key: str, share: float = 0.5) -> DataF
     return weights(mixed, key, "mixed")
 
 
-def backpressure_depth(utilisation: Column, low: int = 1, high: int = 32) -> Column:
-    """How many shards to hold ahead: fewer as utilisation nears 1."""
-    used = F.least(F.greatest(utilisation, F.lit(0.0)), F.lit(1.0))
-    return F.greatest(F.lit(low), F.bround(high - used * (high - low)).cast("int"))
+def rounded(x: Column) -> Column:
+    """To the nearest whole number, halves to the even one."""
+    return F.bround(x).cast("int")
 
 
-def prefetch(depth: Column, utilisation: Column, target: Column, oom: Column) -> Column:
-    """The next depth: half after running out of memory; less by severity above the target; a tenth more below it."""
-    over = utilisation - target
-    factor = F.when(oom, 0.5).when(over > 0.2, 0.5).when(over > 0.1, 0.65).when(over > 0, 0.75).when(over < 0, 1.1).otherwise(1.0)
-    return F.greatest(F.lit(1), F.floor(depth * factor)).cast("int")
+def backpressure_depth(utilisation: Column, target: float = 0.8, low: int = 1, high: int = 8) -> Column:
+    """How many shards to hold ahead: low from the target utilisation on, below it in proportion to the headroom; high where it is unknown."""
+    headroom = F.greatest(F.lit(target) - utilisation, F.lit(0.0)) / target
+    depth = F.least(F.greatest(rounded(headroom * (high - low)) + low, F.lit(low)), F.lit(high))
+    return F.when(utilisation.isNull(), high).when(utilisation >= target, low).otherwise(depth).cast("int")
+
+
+def prefetch(event: Column, depth: Column, mean: Column, target: Column, low: int = 1, high: int = 32) -> Column:
+    """The next depth after oom, high_utilization or low_utilization; other events leave it.
+
+    Running out of memory halves it; utilisation above the target cuts it by severity; utilisation below adds a tenth of what is allowed."""
+    severity = F.greatest(F.coalesce(mean, F.lit(0.0)) - F.coalesce(target, F.lit(0.0)), F.lit(0.0))
+    scale = F.when(severity > 0.12, 0.5).when(severity > 0.05, 0.65).otherwise(0.75)
+    within = lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    more = F.least(depth + max(1, round(max(1, high) * 0.1)), F.lit(high))
+    name = F.lower(event)
+    out = F.when(name == "oom", F.greatest(F.floor(depth / 2), F.lit(1), F.lit(low))).when(name == "high_utilization", within(rounded(depth * scale)))
+    return out.when((name == "low_utilization") & (depth < high), more).otherwise(depth).cast("int")
 
 
 def cadence(interval: Column, share: Column, low: int = 1, high: int = 16) -> Column:
@@ -61,18 +73,50 @@ def chunk_tokens(rate: Column, target_ms: float, low: int = 1) -> Column:
 
 
 def lease_scale(scale: Column, rate: Column, mean: Column) -> Column:
-    """A worker's next scale: towards its rate over the mean, by half at most, between a quarter and four."""
-    wanted = F.when(mean > 0, rate / mean).otherwise(1.0)
-    stepped = F.least(F.greatest(wanted, scale * 0.5), scale * 1.5)
-    return F.least(F.greatest(stepped, F.lit(0.25)), F.lit(4.0))
-
-
-def tuned(rows: DataFrame, target: float = 0.85) -> DataFrame:
-    """The next batch size of a worker by mean memory share, its variance and the share of fallbacks: (…, mean_vram, var_vram, fallback, oom, batch)."""
-    gap = target - F.col("mean_vram")
-    damp = 1 / (1 + 4 * F.coalesce("var_vram", F.lit(0.0)))
-    step = F.when(F.col("oom"), 0.5).when(F.col("fallback") > 0.1, 0.8).otherwise(F.least(F.greatest(1 + gap * damp, F.lit(0.5)), F.lit(1.5)))
-    return rows.withColumn("next_batch", F.greatest(F.lit(1), F.floor(F.col("batch") * step)).cast("int"))
+    """A worker's next scale: its rate over the mean, between a quarter and four, and from half to one and a half of its scale, if it has one."""
+    usable = F.when((mean > 0) & (rate > 0), rate / mean).otherwise(F.coalesce(scale, F.lit(1.0)))
+    wanted = F.least(F.greatest(usable, F.lit(0.25)), F.lit(4.0))
+    low, high = F.greatest(scale * 0.5, F.lit(0.25)), F.least(scale * 1.5, F.lit(4.0))
+    return F.when(F.coalesce(scale, F.lit(0.0)) > 0, F.greatest(low, F.least(wanted, high))).otherwise(wanted)
+
+
+def lease_limit(limit: Column, scale: Column, most: int) -> Column:
+    """How many leases a worker may hold next: one step towards its scale's share of the most."""
+    target = F.least(F.greatest(rounded(scale * most), F.lit(1)), F.lit(most))
+    step = F.when(target > limit, F.least(limit + 1, F.lit(most))).when(target < limit, F.greatest(limit - 1, F.lit(1))).otherwise(limit)
+    return F.when(F.coalesce(limit, F.lit(0)) > 0, step).otherwise(target).cast("int")
+
+
+def tuned(rows: DataFrame, target: float = 0.85, batch: tuple[int, int] = (1, 4096), workers: tuple[int, int] = (1, 64), transfer: tuple[int, int] = (256, 8192), least: int = 3) -> DataFrame:
+    """The next state of each worker: (…, batch, workers, transfer, mean_vram, var_vram, fallback, oom, samples) with next_batch, next_workers
+    and next_transfer, each within its bounds.
+
+    Memory use below or above a band around the target changes the state in proportion to the gap, less where use varies; running out of
+    memory halves the batch; much work that falls back to the processor takes a tenth of the batch and adds a worker. Fewer samples than
+    least change nothing."""
+    low, high = max(0.75, target - 0.05), min(0.95, target + 0.10)
+    below, above = F.lit(low) - F.col("mean_vram"), F.col("mean_vram") - high
+    damped = F.when(F.col("var_vram") > 0.01, 0.3).when(F.col("var_vram") > 0.005, 0.5).otherwise(1.0)
+    size = lambda gap: F.least(F.greatest(gap * 0.6, F.lit(0.05)), F.lit(0.25)) * damped
+    by = F.when(below > 0, size(below)).when(above > 0, -size(above)).otherwise(0.0)
+    within = lambda x, bounds: F.least(F.greatest(x.cast("long"), F.lit(bounds[0])), F.lit(bounds[1])).cast("int")
+    changed = rows.withColumn("_by", by).withColumn("_half", F.signum("_by") * F.greatest(F.abs(F.col("_by")) * 0.5, F.lit(0.02)))
+    crew = F.col("workers") * (1 + F.col("_by") * 0.5)
+    grown = F.when(F.col("_by") > 0, F.bround(crew)).otherwise(F.floor(crew))  # growth is rounded, the rest cut off
+    fresh = {"_batch": within(F.floor(F.col("batch") * (1 + F.col("_by"))), batch), "_workers": within(grown, workers), "_transfer": within(F.floor(F.col("transfer") * (1 + F.col("_half"))), transfer)}
+    fresh = {k: F.when(F.col("_by") == 0, F.col(k[1:])).otherwise(v) for k, v in fresh.items()}
+    for name, value in fresh.items():
+        changed = changed.withColumn(name, value)
+    falls = F.col("fallback") > 0.25
+    after = {
+        "batch": F.when(falls, within(F.floor(F.col("_batch") * 0.9), (batch[0], 1 << 30))).otherwise(F.col("_batch")),
+        "workers": F.when(falls, F.least(F.greatest("_workers", F.col("workers") + 1), F.lit(workers[1]))).when((F.col("fallback") < 0.05) & (F.col("_workers") < workers[1]), F.least(F.greatest("_workers", "workers"), F.lit(workers[1]))).otherwise(F.col("_workers")),
+        "transfer": F.col("_transfer"),
+    }
+    short = {"batch": within(F.floor(F.col("batch") / 2), (batch[0], 1 << 30)), "workers": F.greatest(F.col("workers") - 1, F.lit(workers[0])), "transfer": F.col("transfer")}
+    for name, value in after.items():
+        changed = changed.withColumn(f"next_{name}", F.when(F.col("oom"), short[name]).when(F.col("samples") < least, F.col(name)).otherwise(value).cast("int"))
+    return changed.drop("_by", "_half", *fresh)
 
 
 def per_rank(metrics: DataFrame) -> DataFrame:

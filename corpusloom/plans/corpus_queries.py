@@ -84,23 +84,31 @@ def corpus_summary(spark, sf):
     return sequences.summary(seqs(spark, sf))
 
 
-def merge_steps(k: int) -> str:
-    """SQL of k training steps: best pair, then the collapsing merge by neighbours, each step over the one before."""
-    parts, last = [TOKENS.replace("t AS MATERIALIZED", "t0 AS MATERIALIZED", 1)], 0
+def merge_steps(k: int, warm: list[tuple[int, int]] = ()) -> str:
+    """SQL of k training steps: best pair, or one of warm at first, then the collapsing merge by neighbours, each step over the one before."""
+    parts = [TOKENS.replace("t AS MATERIALIZED", "t0 AS MATERIALIZED", 1)]
     for i in range(k):
         new = 256 + i
         parts.append(f"n{i} AS MATERIALIZED (SELECT doc_id, pos, tok, lag(tok) OVER w AS prev, lead(tok) OVER w AS next FROM t{i} WINDOW w AS (PARTITION BY doc_id ORDER BY pos))")
-        parts.append(f"b{i} AS MATERIALIZED (SELECT tok AS a, next AS b, count(*) AS cnt FROM n{i} WHERE next IS NOT NULL GROUP BY 1, 2 ORDER BY cnt DESC, a, b LIMIT 1)")
-        a, b = f"(SELECT a FROM b{i})", f"(SELECT b FROM b{i})"
-        parts.append(f"t{i + 1} AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos, CASE WHEN tok = {a} AND next = {b} THEN {new} ELSE tok END AS tok FROM n{i} WHERE NOT coalesce(prev = {a} AND tok = {b}, false))")
-        last = i + 1
-    return ", ".join(parts), last
+        if i < len(warm):
+            parts.append(f"b{i} AS MATERIALIZED (SELECT {warm[i][0]}::BIGINT AS a, {warm[i][1]}::BIGINT AS b, 0::BIGINT AS cnt)")
+        else:
+            parts.append(f"b{i} AS MATERIALIZED (SELECT tok AS a, next AS b, count(*) AS cnt FROM n{i} WHERE next IS NOT NULL GROUP BY 1, 2 ORDER BY cnt DESC, a, b LIMIT 1)")
+        x, y = f"(SELECT a FROM b{i})", f"(SELECT b FROM b{i})"
+        parts.append(f"t{i + 1} AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos, CASE WHEN tok = {x} AND next = {y} THEN {new} ELSE tok END AS tok FROM n{i} WHERE NOT coalesce(prev = {x} AND tok = {y}, false))")
+        half = lambda c, i=i: f"CASE {' '.join(f'WHEN {c} = {256 + j} THEN (SELECT letters FROM p{j})' for j in range(i))} ELSE chr({c}::INTEGER) END"
+        parts.append(f"p{i} AS MATERIALIZED (SELECT {half('a') if i else 'chr(a::INTEGER)'} || {half('b') if i else 'chr(b::INTEGER)'} AS letters FROM b{i})")
+    return ", ".join(parts)
 
 
-MERGES, _ = merge_steps(3)
+def merge_rows(k: int) -> str:
+    return " UNION ALL ".join(f'SELECT {i} AS step, (SELECT a FROM b{i}) AS "left", (SELECT b FROM b{i}) AS "right", {256 + i}::BIGINT AS new_id, (SELECT cnt FROM b{i}) AS cnt' for i in range(k))
 
 
-@register("bpe_merges_3", f'WITH {MERGES} ' + " UNION ALL ".join(f'SELECT {i} AS step, (SELECT a FROM b{i}) AS "left", (SELECT b FROM b{i}) AS "right", {256 + i}::BIGINT AS new_id, (SELECT cnt FROM b{i}) AS cnt' for i in range(3)))
+MERGES = merge_steps(3)
+
+
+@register("bpe_merges_3", f"WITH {MERGES} {merge_rows(3)}")
 def bpe_merges(spark, sf):
     return spark.createDataFrame(bpe.train(seqs(spark, sf), 3), "step int, left bigint, right bigint, new_id bigint, cnt bigint")
 
@@ -122,10 +130,13 @@ def collapse_one_pair(spark, sf):
     return toks.select("doc_id", F.size("toks").cast("bigint").alias("n_tokens"), F.size(F.filter("toks", lambda t: t == 256)).cast("bigint").alias("merged"))
 
 
-@register("warm_start_plan", f'WITH {PAIRS} SELECT 255 + row_number() OVER (ORDER BY cnt DESC, a, b) AS new_id, a AS "left", b AS "right" FROM c ORDER BY cnt DESC, a, b LIMIT 8')
+WARM = [(101, 32), (116, 104)]
+
+
+@register("warm_start_plan", f"WITH {merge_steps(3, WARM)} {merge_rows(3)}")
 def warm_start_plan(spark, sf):
-    top = [tuple(r) for r in byte_pairs_topk(spark, sf).limit(8).select("left", "right").collect()]
-    return spark.createDataFrame([(n, a, b) for _, a, b, n, _ in bpe.train(seqs(spark, sf), len(top), warm=top)], "new_id bigint, left bigint, right bigint")
+    """Two merges from outside are applied first; the third is trained on what they leave."""
+    return spark.createDataFrame(bpe.train(seqs(spark, sf), 3, warm=WARM), "step int, left bigint, right bigint, new_id bigint, cnt bigint")
 
 
 @register("frozen_pairs_excluded", f'WITH {PAIRS}, f AS (SELECT a, b FROM c ORDER BY cnt DESC, a, b LIMIT 5) SELECT a AS "left", b AS "right", cnt FROM c WHERE (a, b) NOT IN (SELECT (a, b) FROM f) ORDER BY cnt DESC, a, b LIMIT 10')
@@ -248,10 +259,13 @@ def hybrid_cycle(spark, sf):
     return spark.createDataFrame(rows, "piece_id bigint, piece string, logp double")
 
 
-@register("eval_corpus", "SELECT count(*) AS documents, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS total_bytes, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS total_tokens, round(sum(octet_length(encode(coalesce(text, ''))))::DOUBLE / count(*), 6) AS average_tokens, 1.0::DOUBLE AS tokens_per_byte FROM documents")
+@register("eval_corpus", """WITH x AS (SELECT octet_length(encode(coalesce(text, ''))) AS n, len(regexp_extract_all(coalesce(text, ''), 'e ')) + len(regexp_extract_all(coalesce(text, ''), 'e t')) AS merged FROM documents)
+SELECT count(*) AS documents, sum(n)::BIGINT AS total_bytes, sum(n - merged)::BIGINT AS total_tokens, round(sum(n - merged)::DOUBLE / count(*), 6) AS average_tokens, round(sum(n - merged)::DOUBLE / sum(n), 6) AS tokens_per_byte FROM x""")
 def eval_corpus(spark, sf):
+    """With two merges: e and blank, and what that makes with t."""
     d = docs(spark, sf)
-    totals = evaluate.corpus_totals(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), sequences.encode(d))
+    merged = bpe.apply(sequences.encode(d), [(101, 32, 256), (256, 116, 257)], "greedy")
+    totals = evaluate.corpus_totals(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), merged)
     return totals.crossJoin(evaluate.compression(totals)).select("documents", "total_bytes", "total_tokens", F.round("average_tokens", 6).alias("average_tokens"), F.round("tokens_per_byte", 6).alias("tokens_per_byte"))
 
 
@@ -276,32 +290,35 @@ def eval_by_lang(spark, sf):
     return n.join(d.select("doc_id", "lang"), "doc_id").where("n > 0").groupBy("lang").agg(F.sum("n").alias("tokens"), F.sum("lost").alias("unknown"))
 
 
-def script_sql(runs: list[tuple[str, str]]) -> str:
-    kinds = [*runs, ("SCRIPT=LATIN", "A-Za-z"), ("SCRIPT=NUMERIC", morphology.DIGIT)]
-    pattern = "|".join(f"[{c}]+" for _, c in kinds)
-    cases = " ".join(f"WHEN regexp_matches(s, '^[{c}]') THEN '{n}'" for n, c in kinds)
-    return f"""WITH s AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '(?s)({pattern}|.)', 1)) AS s FROM documents)
-SELECT CASE {cases} WHEN regexp_matches(s, '^[{morphology.BLANK}]') THEN 'CATEGORY=SPACE' ELSE 'CATEGORY=PUNCT' END AS tag, count(*) AS cnt, sum(length(s))::BIGINT AS chars FROM s GROUP BY tag"""
+def script_sql(scripts: dict[str, str]) -> str:
+    """Runs of one script by a class of characters each, every other character by itself."""
+    digits = r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐"
+    kinds = scripts | {"SCRIPT=LATIN": "A-Za-z", "SCRIPT=NUMERIC": digits}
+    cases = " ".join(f"WHEN regexp_matches(s, '^[{c}]') THEN '{n}'" for n, c in kinds.items())
+    blank = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
+    return f"""WITH s AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '(?s)({"|".join(f"[{c}]+" for c in kinds.values())}|.)', 1)) AS s FROM documents)
+SELECT CASE {cases} WHEN regexp_matches(s, '^[{blank}]') THEN 'CATEGORY=SPACE' ELSE 'CATEGORY=PUNCT' END AS tag, count(*) AS cnt, sum(length(s))::BIGINT AS chars FROM s GROUP BY tag"""
 
 
 def tag_counts(cut: DataFrame) -> DataFrame:
     return cut.select(F.explode("segments").alias("s")).groupBy(F.col("s.tags")[0].alias("tag")).agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.char_length("s.surface")).alias("chars"))
 
 
-@register("script_segments_ja", script_sql(morphology.JAPANESE))
+@register("script_segments_ja", script_sql({"SCRIPT=KANJI": "一-鿿㐀-䶿", "SCRIPT=HIRAGANA": r"\x{3040}-\x{309F}", "SCRIPT=KATAKANA": "゠-ヿㇰ-ㇿｦ-ﾝ"}))
 def script_segments_ja(spark, sf):
     return tag_counts(morphology.segmented(docs(spark, sf), "ja"))
 
 
-@register("script_segments_ko", script_sql(morphology.KOREAN))
+@register("script_segments_ko", script_sql({"SCRIPT=HANGUL": "가-힣"}))
 def script_segments_ko(spark, sf):
     return tag_counts(morphology.segmented(docs(spark, sf), "ko"))
 
 
-@register("recompose", "SELECT doc_id, coalesce(text, '') = coalesce(text, '') AS lossless FROM documents")
+@register("recompose", "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
 def recompose(spark, sf):
+    """Segments put together again are the text."""
     cut = morphology.segmented(docs(spark, sf), "tr")
-    return cut.select("doc_id", (morphology.recomposed(F.col("segments")) == F.coalesce("text", F.lit(""))).alias("lossless"))
+    return cut.select("doc_id", F.sha2(morphology.recomposed(F.col("segments")), 256).alias("digest"))
 
 
 @register("tr_suffixes")
@@ -327,11 +344,11 @@ def byte_alphabet(spark, sf):
     return one.select("byte", K.token_string(F.col("piece")).alias("letter"))
 
 
-@register("piece_table", f"WITH {MERGES} " + " UNION ALL ".join(f"SELECT {256 + i}::BIGINT AS id, (SELECT CASE WHEN a < 256 THEN chr(a::INTEGER) ELSE '?' END || CASE WHEN b < 256 THEN chr(b::INTEGER) ELSE '?' END FROM b{i}) AS letters" for i in range(3)))
+@register("piece_table", f"WITH {MERGES} " + " UNION ALL ".join(f"SELECT {256 + i}::BIGINT AS id, letters FROM p{i}" for i in range(3)))
 def piece_table(spark, sf):
-    """What the first merges stand for; a half that is itself a merge is shown as a question mark."""
-    rows = [(m[3], "".join(chr(x) if x < 256 else "?" for x in m[1:3])) for m in bpe.train(seqs(spark, sf), 3)]
-    return spark.createDataFrame(rows, "id bigint, letters string")
+    """What the first merges stand for."""
+    found = bpe.pieces([m[1:4] for m in bpe.train(seqs(spark, sf), 3)])
+    return spark.createDataFrame([(i, p.decode("latin-1")) for i, p in found.items() if i >= 256], "id bigint, letters string")
 
 
 WORDS = r"w AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[^\s]+')) AS w FROM documents)"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.operators import telemetry as T
 from corpusloom.plans.catalogue import register
+from corpusloom.streaming import leases
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,14 +54,20 @@ def measures(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", (F.pmod("event_id", F.lit(101)) / F.lit(100.0)).alias("u"), (F.pmod("event_id", F.lit(16)) + 1).cast("int").alias("d"))
 
 
-@register("backpressure_depth", f"WITH {MEASURES} SELECT event_id, greatest(1, round_even(32 - u * 31, 0))::INTEGER AS depth FROM m")
+@register("backpressure_depth", f"""WITH {MEASURES}, x AS (SELECT event_id, CASE WHEN event_id % 37 = 0 THEN NULL ELSE u END AS u FROM m)
+SELECT event_id, CASE WHEN u IS NULL THEN 8 WHEN u >= 0.8 THEN 1 ELSE 1 + round_even((0.8::DOUBLE - u) / 0.8::DOUBLE * 7, 0)::INTEGER END AS depth FROM x""")
 def backpressure_depth(spark, sf):
-    return measures(spark, sf).select("event_id", T.backpressure_depth(F.col("u")).alias("depth"))
+    known = F.when(F.col("event_id") % 37 != 0, F.col("u"))
+    return measures(spark, sf).select("event_id", T.backpressure_depth(known).alias("depth"))
 
 
-@register("prefetch_policy", f"WITH {MEASURES} SELECT event_id, greatest(1, floor(d * CASE WHEN event_id % 50 = 0 THEN 0.5 WHEN u - 0.5 > 0.2 THEN 0.5 WHEN u - 0.5 > 0.1 THEN 0.65 WHEN u - 0.5 > 0 THEN 0.75 WHEN u - 0.5 < 0 THEN 1.1 ELSE 1.0 END::DOUBLE))::INTEGER AS depth FROM m")
+@register("prefetch_policy", f"""WITH {MEASURES} SELECT event_id, CASE
+ WHEN event_id % 4 = 0 THEN greatest(1, d // 2)
+ WHEN event_id % 4 = 1 THEN greatest(1, round_even(d * CASE WHEN u - 0.7::DOUBLE > 0.12::DOUBLE THEN 0.5 WHEN u - 0.7::DOUBLE > 0.05::DOUBLE THEN 0.65 ELSE 0.75 END::DOUBLE, 0))
+ WHEN event_id % 4 = 2 AND d < 14 THEN d + 1 ELSE least(d, CASE WHEN event_id % 4 = 1 THEN 14 ELSE 16 END) END::INTEGER AS depth FROM m""")
 def prefetch_policy(spark, sf):
-    return measures(spark, sf).select("event_id", T.prefetch(F.col("d"), F.col("u"), F.lit(0.5), F.col("event_id") % 50 == 0).alias("depth"))
+    event = F.element_at(F.array(*[F.lit(x) for x in ("oom", "high_utilization", "low_utilization", "feedback")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return measures(spark, sf).select("event_id", T.prefetch(event, F.col("d"), F.col("u"), F.lit(0.7), 1, 14).alias("depth"))
 
 
 @register("cadence", f"WITH {MEASURES} SELECT event_id, least(greatest(d + CASE WHEN u > 0.15 THEN 1 WHEN u < 0.08 THEN -1 ELSE 0 END, 1), 16)::INTEGER AS interval_steps FROM m")
@@ -74,9 +80,16 @@ def chunk_plan(spark, sf):
     return measures(spark, sf).select("event_id", T.chunk_tokens(F.col("u") * 1000, 250.0).alias("tokens"))
 
 
-@register("lease_scale", f"WITH {MEASURES} SELECT event_id, round(least(greatest(least(greatest(u / 0.5, d / 8.0 * 0.5), d / 8.0 * 1.5), 0.25), 4.0), 9)::DOUBLE AS scale FROM m")
+@register("lease_scale", f"""WITH {MEASURES}, s AS (SELECT event_id, u, CASE WHEN event_id % 5 = 0 THEN NULL ELSE d / 8.0::DOUBLE END AS s, d FROM m),
+w AS (SELECT *, least(greatest(CASE WHEN u > 0 THEN u / 0.5::DOUBLE ELSE coalesce(s, 1.0) END, 0.25), 4.0) AS w FROM s),
+n AS (SELECT event_id, d, CASE WHEN s IS NULL THEN w ELSE greatest(greatest(s * 0.5, 0.25), least(w, least(s * 1.5, 4.0))) END AS scale FROM w),
+t AS (SELECT *, least(greatest(round_even(scale * 16, 0), 1), 16)::INTEGER AS t FROM n)
+SELECT event_id, round(scale, 9)::DOUBLE AS scale, CASE WHEN event_id % 7 = 0 THEN t WHEN t > d THEN least(d + 1, 16) WHEN t < d THEN greatest(d - 1, 1) ELSE d END::INTEGER AS most_active FROM t""")
 def lease_scale(spark, sf):
-    return measures(spark, sf).select("event_id", F.round(T.lease_scale(F.col("d") / 8.0, F.col("u"), F.lit(0.5)), 9).alias("scale"))
+    m = measures(spark, sf).withColumn("s", F.when(F.col("event_id") % 5 != 0, F.col("d") / 8.0))
+    m = m.withColumn("scale", T.lease_scale(F.col("s"), F.col("u"), F.lit(0.5)))
+    limit = F.when(F.col("event_id") % 7 != 0, F.col("d"))
+    return m.select("event_id", F.round("scale", 9).alias("scale"), T.lease_limit(limit, F.col("scale"), 16).alias("most_active"))
 
 
 @register("per_rank_metrics", "SELECT user_id AS rank, arg_max(value, (ts, event_id)) AS last_tokens, round(sum(value), 6) AS total_tokens, count(*) AS steps FROM events GROUP BY user_id")
@@ -109,13 +122,18 @@ def classification_metrics(spark, sf):
     return T.classification(scored, "logits", "label").select("samples", F.round("accuracy", 9).alias("accuracy"), F.round("loss", 6).alias("loss"))
 
 
-@register("autoscale_step")
+@register("autoscale_step", """WITH w AS (SELECT user_id, count(*)::INTEGER AS n, avg((event_id % 101) / 100.0::DOUBLE) AS v, var_pop((event_id % 101) / 100.0::DOUBLE) AS x, (user_id % 10) / 20.0::DOUBLE AS f, user_id % 11 = 0 AS oom, (64 + user_id % 64)::INTEGER AS b, (4 + user_id % 8)::INTEGER AS k, 1024 AS h FROM events GROUP BY user_id),
+y AS (SELECT *, CASE WHEN x > 0.01 THEN 0.3 WHEN x > 0.005 THEN 0.5 ELSE 1.0 END::DOUBLE AS damp FROM w),
+z AS (SELECT *, CASE WHEN v < 0.75::DOUBLE THEN least(greatest((0.75::DOUBLE - v) * 0.6::DOUBLE, 0.05), 0.25) * damp WHEN v > 0.85::DOUBLE THEN -least(greatest((v - 0.85::DOUBLE) * 0.6::DOUBLE, 0.05), 0.25) * damp ELSE 0 END::DOUBLE AS g FROM y),
+s AS (SELECT *, greatest(1, floor(b * (1 + g)))::INTEGER AS nb, CASE WHEN g > 0 THEN round_even(k * (1 + g * 0.5), 0) WHEN g < 0 THEN floor(k * (1 + g * 0.5)) ELSE k END::INTEGER AS nk, CASE WHEN g = 0 THEN h ELSE greatest(256, floor(h * (1 + sign(g) * greatest(abs(g) * 0.5::DOUBLE, 0.02::DOUBLE)))) END::INTEGER AS nh FROM z)
+SELECT user_id, CASE WHEN oom THEN greatest(1, b // 2) WHEN n < 3 THEN b WHEN f > 0.25 THEN greatest(1, floor(nb * 0.9::DOUBLE)) ELSE nb END::INTEGER AS next_batch,
+       CASE WHEN oom THEN greatest(1, k - 1) WHEN n < 3 THEN k WHEN f > 0.25 THEN greatest(nk, k + 1) WHEN f < 0.05 THEN greatest(nk, k) ELSE nk END::INTEGER AS next_workers, CASE WHEN oom OR n < 3 THEN h ELSE nh END::INTEGER AS next_transfer FROM s""")
 def autoscale_step(spark, sf):
-    w = Window.partitionBy("user_id")
-    e = events(spark, sf).groupBy("user_id").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"), F.max("value").alias("top"))
-    rows = e.select("user_id", F.coalesce(F.try_divide("mean", "top"), F.lit(0.0)).alias("mean_vram"), F.coalesce(F.try_divide(F.col("var"), F.col("top") * F.col("top")), F.lit(0.0)).alias("var_vram"), F.lit(0.0).alias("fallback"), F.lit(False).alias("oom"), F.lit(64).alias("batch"))
-    del w
-    return T.tuned(rows).select("user_id", "next_batch")
+    share = F.pmod("event_id", F.lit(101)) / F.lit(100.0)
+    e = events(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("samples"), F.avg(share).alias("mean_vram"), F.var_pop(share).alias("var_vram"))
+    u = F.col("user_id")
+    rows = e.select("*", (u % 10 / F.lit(20.0)).alias("fallback"), (u % 11 == 0).alias("oom"), (64 + u % 64).cast("int").alias("batch"), (4 + u % 8).cast("int").alias("workers"), F.lit(1024).alias("transfer"))
+    return T.tuned(rows, 0.75).select("user_id", "next_batch", "next_workers", "next_transfer")
 
 
 @register("token_rate_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, round(sum(value), 6) AS tokens FROM events GROUP BY 1")
@@ -124,6 +142,15 @@ def token_rate_windows(spark, sf):
     return T.rates(e, 3600).select("start", F.round("tokens", 6).alias("tokens"))
 
 
-@register("lease_totals", "SELECT user_id AS chunk_id, count(*) AS attempts FROM events GROUP BY user_id")
-def lease_totals(spark, sf):
-    return events(spark, sf).groupBy(F.col("user_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("attempts"))
+LEASES = """e AS (SELECT user_id AS chunk_id, event_id AS t, event_type AS rank, CASE event_id % 7 WHEN 0 THEN 'complete' WHEN 1 THEN 'fail' WHEN 2 THEN 'heartbeat' WHEN 3 THEN 'timeout' ELSE 'grant' END AS event FROM events WHERE user_id % 5 <> 0 OR event_id % 7 <> 0),
+d AS (SELECT chunk_id, min(t) FILTER (WHERE event = 'complete') AS done FROM e GROUP BY chunk_id)"""
+
+
+@register("lease_states", f"""WITH {LEASES} SELECT chunk_id, arg_max(rank, t) AS rank, CASE WHEN any_value(done) IS NOT NULL THEN 'done' WHEN arg_max(event, t) FILTER (WHERE event IN ('grant', 'fail', 'timeout')) = 'grant' THEN 'leased' ELSE 'free' END AS status,
+count(*) FILTER (WHERE event = 'grant' AND t < coalesce(done, 9223372036854775807)) AS attempts FROM e JOIN d USING (chunk_id) GROUP BY chunk_id""")
+def lease_states(spark, sf):
+    """The state of each chunk after a stream of lease events, user by user."""
+    e = events(spark, sf)
+    names = F.element_at(F.array(*[F.lit(x) for x in ("complete", "fail", "heartbeat", "timeout", "grant", "grant", "grant")]), (F.col("event_id") % 7 + 1).cast("int"))
+    rows = e.where("user_id % 5 <> 0 OR event_id % 7 <> 0").select(F.col("user_id").alias("chunk_id"), F.col("event_id").alias("at"), F.col("event_type").alias("rank"), names.alias("event"))
+    return leases.final_states(spark, rows)

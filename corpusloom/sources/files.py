@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.session import make_importable
+from corpusloom.sources.tables import numbered
 
 SHARDS = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 #: What ends a line, beyond carriage return and line feed.
@@ -85,11 +86,15 @@ def whole_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(doc_id, path, text) of all lines that are not empty; doc_id follows path and line."""
-    cut = whole_texts(spark, paths).select("path", F.posexplode(F.split("text", LINE_ENDS)).alias("line", "text")).where("text != ''")
-    ranged = cut.repartitionByRange("path", "line").sortWithinPartitions("path", "line").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    before = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
-    return ranged.join(before, "_p").select((F.col("_b") + F.col("_i")).alias("doc_id"), "path", "text")
+    """(doc_id, path, text) of all lines that are not empty; doc_id follows path and line.
+
+    Files are read by splits, which end at line feeds and carriage returns; what else ends a line is looked for in each."""
+    if not spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).inputFiles():
+        raise FileNotFoundError(f"no files in {paths}")
+    rows = spark.read.option("recursiveFileLookup", "true").text(paths)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"), "value")
+    cut = rows.select("path", "_start", "_row", F.posexplode(F.split("value", LINE_ENDS)).alias("_line", "text")).where("text != ''")
+    return numbered(cut, ["path", "_start", "_row", "_line"], "doc_id").select("doc_id", "path", "text")
 
 
 def code(spark: SparkSession, paths: list[str], languages: set[str] | None = None) -> DataFrame:

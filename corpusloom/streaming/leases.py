@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.session import make_importable
+from corpusloom.sources.tables import shared_dir
 
 OUT = "chunk_id bigint, rank string, status string, attempts bigint"
 STATE = "rank string, status string, attempts bigint, seen bigint"
@@ -27,8 +30,10 @@ def step(status: str, attempts: int, event: str) -> tuple[str, int]:
     return status, attempts
 
 
-def leases(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """events (chunk_id, at bigint, rank, event), a stream: the state of each chunk after each batch."""
+def leases(events: DataFrame, timeout_ms: int | None = 60_000) -> DataFrame:
+    """events (chunk_id, at bigint, rank, event), a stream: the state of each chunk after each batch.
+
+    Without timeout_ms silent leases stay; a query that ends by itself needs that, since timeouts ask for ever more batches."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rank, status, attempts, seen = state.get if state.exists else ("", "free", 0, -1)
@@ -40,12 +45,29 @@ def leases(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
                 status, attempts = step(status, attempts, r.event)
                 rank, seen = r.rank, int(r.at)
         state.update((rank, status, attempts, seen))
-        if status == "leased":
+        if status == "leased" and timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"chunk_id": [key[0]], "rank": [rank], "status": [status], "attempts": [attempts]})
 
     make_importable(events.sparkSession)
-    return events.groupBy("chunk_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("chunk_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def final_states(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The last state of each chunk, after all of a table of events have gone through leases() as a stream.
+
+    Events are written in order of their time, and the stream takes them in one batch, so that a chunk's events come in order."""
+    base = f"{shared_dir(spark)}/corpusloom/leases-{uuid.uuid4().hex}"
+    events.write.parquet(f"{base}/events")
+    source = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/states/n={number}")
+
+    query = leases(source, None).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = spark.read.schema(f"{OUT}, batch int").option("recursiveFileLookup", "true").parquet(f"{base}/states")
+    return states.groupBy("chunk_id").agg(F.max_by(F.struct("rank", "status", "attempts"), "batch").alias("last")).select("chunk_id", "last.rank", "last.status", "last.attempts")
 
 
 def chunks(total: int, width: int) -> list[tuple[int, int, int]]:

@@ -20,20 +20,30 @@ def segments(spark, text, language, **options):
 
 
 def test_turkish(spark):
-    text = "Ankara'ya evlerden hızla geldim ve kedilerle konuştum. İİ"
+    text = "Trenle köylere döndük; bahçeler'de İİ bekliyor. Söz: 7 kapıcılar"
     found = segments(spark, text, "tr")
     assert "".join(s for s, _, _ in found) == text
-    tags = {s: t for s, t, _ in found if t}
-    assert tags["ya"] == ["CASE=DAT"] and tags["lerden"] == ["AFFIX=PL", "CASE=ABL"]
+    assert found[0][0] == "Tren" and found[1] == ("le", ["CASE=INS"], "case")
+    at = next(i for i, s in enumerate(found) if s[0] == "lere")
+    assert found[at - 1][0] == "köy" and found[at][1] == ["AFFIX=PL", "CASE=DAT"]
     assert not any(r == "case" for _, _, r in segments(spark, text, "tr", case_markers=False))
+    assert not any(r == "affix" for _, _, r in segments(spark, text, "tr", affix_tags=False))
+
+
+def test_segmented_bytes(spark):
+    """What is no UTF-8 is kept as one segment without tags."""
+    rows = [(1, bytearray("köylere".encode())), (2, bytearray(b"\xff\xfe a")), (3, None)]
+    found = {r["doc_id"]: r["segments"] for r in morphology.segmented_bytes(spark.createDataFrame(rows, "doc_id bigint, payload binary"), "tr").collect()}
+    assert [s["surface"] for s in found[1]] == ["köy", "lere"] and [(s["surface"].encode("latin-1"), list(s["tags"]), s["role"]) for s in found[2]] == [(b"\xff\xfe a", [], None)]
+    assert found[3] == []
 
 
 def test_scripts(spark):
-    found = segments(spark, "東京でAIを学ぶ。", "ja")
-    assert [(s, t[0]) for s, t, _ in found][:3] == [("東京", "SCRIPT=KANJI"), ("で", "SCRIPT=HIRAGANA"), ("AI", "SCRIPT=LATIN")]
-    assert found[-1] == ("。", ["CATEGORY=PUNCT"], "separator")
-    korean = segments(spark, "서울에서 공부!", "ko")
-    assert [t[0] for _, t, _ in korean] == ["SCRIPT=HANGUL", "CATEGORY=SPACE", "SCRIPT=HANGUL", "CATEGORY=PUNCT"]
+    found = segments(spark, "雨のち晴れ、GPU 12枚²", "ja")
+    assert [(s, t[0][-8:]) for s, t, _ in found] == [("雨", "PT=KANJI"), ("のち", "HIRAGANA"), ("晴", "PT=KANJI"), ("れ", "HIRAGANA"), ("、", "RY=PUNCT"), ("GPU", "PT=LATIN"), (" ", "RY=SPACE"), ("12", "=NUMERIC"), ("枚", "PT=KANJI"), ("²", "=NUMERIC")]
+    assert [r for _, _, r in found].count("separator") == 2
+    korean = segments(spark, "바람 부는 날?\u3000٣", "ko")
+    assert [t[0].split("=")[1] for _, t, _ in korean] == ["HANGUL", "SPACE", "HANGUL", "SPACE", "HANGUL", "PUNCT", "SPACE", "NUMERIC"]
 
 
 def test_code(spark):
@@ -77,13 +87,13 @@ def test_evaluation(spark):
 
 
 def test_export(spark):
-    rows = [("<pad>", 0, 0.0, None), ("hello", 1, 10.0, [0.5, 0.5]), ("world", 2, 4.0, [0.5, 0.5]), ("rare", 3, 0.1, None)]
+    rows = [("<unk>", 0, 0.0, None), ("sun", 1, 9.0, [0.25, 0.75]), ("moon", 2, 3.0, [0.25, 0.75]), ("dust", 3, 0.2, None)]
     vocab = spark.createDataFrame(rows, "token string, id bigint, count double, vector array<double>")
-    kept, log = export.pruned(vocab, 0.5, ["<pad>"])
-    assert [r["token"] for r in kept.orderBy("new_id").collect()] == ["<pad>", "hello", "world"] and [r["token"] for r in log.collect()] == ["rare"]
-    heads, merged = export.deduplicated(vocab, 0.99, ["<pad>"], 2)
-    assert "world" not in [r["token"] for r in heads.collect()]
-    assert [(r["token"], r["merged_into"]) for r in merged.collect()][0] == ("world", "hello")
+    kept, log = export.pruned(vocab, 1.0, ["<unk>"])
+    assert [r["token"] for r in kept.orderBy("new_id").collect()] == ["<unk>", "sun", "moon"] and [r["token"] for r in log.collect()] == ["dust"]
+    heads, merged = export.deduplicated(vocab, 0.99, ["<unk>"], 2)
+    assert "moon" not in [r["token"] for r in heads.collect()]
+    assert [(r["token"], r["merged_into"]) for r in merged.collect()][0] == ("moon", "sun")
 
 
 def test_formats(spark, tmp_path):
@@ -112,6 +122,29 @@ def test_files(spark, tmp_path):
     assert [r["language"] for r in files.code(spark, [f"{tmp_path}/m.jsonl"], {"python"}).collect()] == ["python"]
 
 
+def test_lines_by_splits(spark, tmp_path):
+    """No line is lost where adaptive execution joins partitions, and files are cut into splits; numbers have no gaps."""
+    want = []
+    for f in range(8):
+        lines = [f"{f}-{i} " + "x" * 590 for i in range(3000)]
+        (tmp_path / f"{f}.txt").write_text("\n".join(lines))
+        want += lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400k")
+    try:
+        found = files.lines(spark, [str(tmp_path)]).orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["text"] for r in found] == want and [r["doc_id"] for r in found] == list(range(24000))
+
+
+def test_batches(spark):
+    """Every row has a batch under adaptive execution, whatever the partitions; repeated orders have places of their own."""
+    seqs = spark.range(1000).select((F.col("id") % 700).alias("doc_id"), F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: i.cast("int")).alias("toks"))
+    shapes = sequences.batch_shapes(sequences.batches(seqs, 64)).orderBy("batch").collect()
+    assert [(r["batch"], r["n_rows"]) for r in shapes] == [(i, 64) for i in range(15)] + [(15, 40)]
+    assert sequences.batches(seqs.limit(0), 64).count() == 0
+
+
 def test_streams(spark):
     docs = spark.createDataFrame([(i, "abcabc" * i) for i in range(6)], "doc_id bigint, text string")
     want = {tuple(r) for r in histograms.pairs(sequences.encode(docs)).collect()}
@@ -120,6 +153,25 @@ def test_streams(spark):
     for event in ("grant", "timeout", "grant", "complete", "grant"):
         state = leases.step(*state, event)
     assert state == ("done", 2)
+    events = [(1, 1, "r0", "grant"), (1, 2, "r0", "fail"), (1, 3, "r1", "grant"), (2, 4, "r1", "grant"), (2, 5, "r1", "complete"), (3, 6, "r2", "heartbeat")]
+    found = leases.final_states(spark, spark.createDataFrame(events, "chunk_id bigint, at bigint, rank string, event string")).collect()
+    assert sorted(map(tuple, found)) == [(1, "r1", "leased", 2), (2, "r1", "done", 1), (3, "r2", "free", 0)]
+
+
+def test_control(spark):
+    """Depths, scales and states at the edges of their rules."""
+    rows = [(None, 4, 0.9, 8), (0.8, 4, 0.95, 8), (0.0, 3, 0.85, 2), (0.4, 1, 0.7, 8)]
+    f = spark.createDataFrame(rows, "u double, depth int, mean double, limit int")
+    assert [r[0] for r in f.select(telemetry.backpressure_depth(F.col("u"))).collect()] == [8, 1, 8, 5]
+    depth = lambda event: [r[0] for r in f.select(telemetry.prefetch(F.lit(event), F.col("depth"), F.col("mean"), F.lit(0.8), 1, 8)).collect()]
+    assert depth("oom") == [2, 2, 1, 1] and depth("high_utilization") == [3, 2, 2, 1] and depth("low_utilization") == [5, 5, 4, 2] and depth("other") == [4, 4, 3, 1]
+    scale = lambda s, r, m: f.limit(1).select(telemetry.lease_scale(F.lit(s).cast("double"), F.lit(r), F.lit(m))).first()[0]
+    assert [scale(None, 9.0, 1.0), scale(1.0, 9.0, 1.0), scale(1.0, 0.1, 1.0), scale(2.0, 0.0, 1.0), scale(None, 0.0, 0.0)] == [4.0, 1.5, 0.5, 2.0, 1.0]
+    assert [r[0] for r in f.select(telemetry.lease_limit(F.col("limit"), F.lit(0.5), 8)).collect()] == [7, 7, 3, 7]
+    state = "mean_vram double, var_vram double, fallback double, oom boolean, samples int, batch int, workers int, transfer int"
+    states = [(0.5, 0.0, 0.1, False, 8, 100, 4, 1000), (0.5, 0.02, 0.0, False, 8, 100, 4, 1000), (0.99, 0.0, 0.5, False, 8, 100, 4, 1000), (0.85, 0.0, 0.1, False, 8, 100, 4, 1000), (0.5, 0.0, 0.1, False, 2, 100, 4, 1000), (0.5, 0.0, 0.1, True, 8, 100, 1, 1000)]
+    found = [tuple(r) for r in telemetry.tuned(spark.createDataFrame(states, state)).select("next_batch", "next_workers", "next_transfer").collect()]
+    assert found == [(118, 4, 1090), (105, 4, 1027), (85, 5, 975), (100, 4, 1000), (100, 4, 1000), (50, 1, 1000)]
 
 
 def test_telemetry(spark):
