@@ -17,10 +17,17 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return make_importable(builder.getOrCreate())
 
 
+#: What Python workers' allocators get told where the environment says nothing: arrays of some megabytes go back to the system when they
+#: are freed, so that a worker that is used for task after task doesn't keep the most that any of them took.
+ALLOCATORS = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def make_importable(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it, as --py-files does for a submitted job."""
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for key, value in ALLOCATORS.items():
+        environment.setdefault(key, value)
     return spark
