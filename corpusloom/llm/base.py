@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import make_importable
 from corpusloom.sources.tables import saved, shared_dir  # noqa: F401  (the operators take saved() from here)
 
-#: Text handled at once inside a Python worker, in characters.
+#: Text handled at once inside a Python worker, in bytes.
 SLICE_CHARS = 4_000_000
 
 
@@ -21,9 +21,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of an Arrow batch: a setting, its default, and what the operators take instead, since texts may be long.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session, for operators that send texts to Python workers. Batches are made smaller unless the session sets their size."""
+    key, usual, ours = BATCH_ROWS
+    if spark.conf.get(key) == usual:
+        spark.conf.set(key, ours)
+    return make_importable(spark)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that the operators read, so that no other column can clash."""
-    make_importable(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -36,20 +48,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few(df: DataFrame, most: int = 250_000) -> DataFrame:
+    """df, a few narrow columns, for a join: sent to all tasks if it has no more than so many rows, which are counted."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def slices_of(batch: pa.RecordBatch, texts: int = 1, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts or bytes, in a column by number, have at most size bytes together, or that are a single longer one."""
+    if batch.nbytes <= size:
+        if batch.num_rows:
+            yield batch
+        return
+    start = held = 0
+    for i, n in enumerate(pc.coalesce(pc.binary_length(batch.column(texts)), 0).to_pylist()):
+        if i > start and held + n > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_CHARS, more: bool = False) -> Iterator[tuple]:
-    """Ids and texts of (doc_id, text, ...) batches, in slices of at most size characters, or a single longer text; more: the third column as well."""
+    """Ids and texts of (doc_id, text, ...) batches, by slices_of(); more: the third column as well."""
     for batch in batches:
-        columns = [batch.column(0), batch.column(1), *([batch.column(2)] if more else [])]
-        bounds = [0, batch.num_rows]
-        if batch.nbytes > size:
-            bounds, held = [0], 0
-            for i, n in enumerate(pc.coalesce(pc.utf8_length(columns[1]), 0).to_pylist()):
-                if i > bounds[-1] and held + n > size:
-                    bounds.append(i)
-                    held = 0
-                held += n
-            bounds.append(batch.num_rows)
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            if a < b:
-                keys, texts, *rest = (c.slice(a, b - a).to_pylist() for c in columns)
-                yield keys, [x or "" for x in texts], *rest
+        for b in slices_of(batch, 1, size):
+            keys, texts, *rest = (b.column(i).to_pylist() for i in range(3 if more else 2))
+            yield keys, [x or "" for x in texts], *rest

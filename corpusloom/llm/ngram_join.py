@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .base import id_and_text, partitions, saved, text_slices
+from .base import few, id_and_text, partitions, saved, text_slices
 from .components import components
 
 SLICE = 1_000_000
@@ -99,7 +99,7 @@ def signs(s: np.ndarray, counters: np.ndarray, how: Similarity) -> np.ndarray:
     return np.concatenate(out)
 
 
-SURVEY = "doc_id long, id long, n long, cls long, sketch binary, chunk int, counts binary"
+SURVEY = "doc_id long, key long, n long, cls long, sketch binary, chunk int, counts binary"
 
 
 def survey(how: Similarity) -> Callable:
@@ -107,10 +107,10 @@ def survey(how: Similarity) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTERS_LOG2, np.uint32)
-        names = ["doc_id", "id", "n", "cls", "sketch", "chunk", "counts"]
+        names = ["doc_id", "key", "n", "cls", "sketch", "chunk", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         seen: set[int] = set()
-        for keys, texts, ids in text_slices(batches, SLICE, True):
+        for ids, texts, keys in text_slices(batches, SLICE, True):
             sets = shingle_sets(texts, how.shingle)
             counts += np.bincount((np.concatenate(sets) >> H.U(64 - COUNTERS_LOG2)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             classes = [class_of(s) if len(s) else None for s in sets]
@@ -119,7 +119,7 @@ def survey(how: Similarity) -> Callable:
                 drawn.append(None if c is None or c in seen else parity(s))
                 seen.add(c)
             none = [None] * len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([keys, ids, [len(s) for s in sets], classes, drawn, none, none], kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([ids, keys, [len(s) for s in sets], classes, drawn, none, none], kinds, strict=True)], names=names)
         if counts.any():
             none = [None] * CHUNKS
             columns = [none, none, none, none, none, range(CHUNKS), [c.tobytes() for c in counts.reshape(CHUNKS, -1)]]
@@ -257,8 +257,6 @@ SKETCH_PAIRS, SET_PAIRS = 20_000, 2_000
 MANY = 256
 #: A block of a family: classes and shingles.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
-#: So many identifiers are sent to all tasks at most; more are joined by an exchange.
-SENT = 1_000_000
 #: At most one in so many classes counts as hot.
 HOT_SHARE = 1000
 
@@ -306,8 +304,7 @@ def identifier() -> Column:
 def sets_of(classes: DataFrame, rows: DataFrame, how: Similarity) -> DataFrame:
     """(cls, n, payload) of classes (cls, id): the sets of one row each."""
     wanted = saved(classes, "wanted")
-    small = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-    found = rows.withColumn("id", identifier()).join(small, "id").select("cls", "text")
+    found = rows.withColumn("id", identifier()).join(few(wanted), "id").select("cls", "text")
     return saved(found.mapInArrow(elements(how), "cls long, n long, payload binary").dropDuplicates(["cls"]), "sets")
 
 
@@ -463,10 +460,11 @@ def across(families: DataFrame, comp: DataFrame, sketches: DataFrame, how: Simil
 
 
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id and class_id (null without a set)."""
+    """A row for each document: doc_id, key (xxhash64 of the text), n_shingles, component_id, class_id, which equal sets share, and
+    group_id, which all that link share; both are null without a set."""
     spark = docs.sparkSession
     rows, parts = id_and_text(docs), partitions(spark)
-    surveyed = saved(rows.withColumn("id", identifier()).mapInArrow(survey(how), SURVEY), "classes")
+    surveyed = saved(rows.withColumn("key", F.xxhash64("text")).mapInArrow(survey(how), SURVEY), "classes")
     counted = surveyed.where("chunk is not null").select("chunk", "counts")
     sums = counted.mapInArrow(add_counts, counted.schema).repartition(CHUNKS, "chunk").mapInArrow(add_counts, counted.schema)
     table = {r["chunk"]: bytes(r["counts"]) for r in sums.collect()}  # 4 MB at any size of the corpus
@@ -477,7 +475,7 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
 
     families = families_of(shared)
     needed = families.select("cls").distinct()
-    first = surveyed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
+    first = surveyed.where("cls is not null").groupBy("cls").agg(F.min(F.coalesce("doc_id", "key")).alias("id"))
     known = surveyed.where("sketch is not null").select("cls", "n", F.col("sketch").alias("payload"))
     sketches = saved(known.join(needed, "cls").dropDuplicates(["cls"]), "sketches")
 
@@ -500,23 +498,23 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
         met = candidates.join(sets, "cls").select(*keys, "cls", "comp", "n", "payload").repartition(*keys).sortWithinPartitions(*keys)
         more = saved(met.mapInArrow(spanning(how), "a long, b long"), "links")
         comp = components(links.unionByName(more))
-    return named(surveyed.where("chunk is null").select("doc_id", "n", "cls"), comp)
+    return named(surveyed.where("chunk is null").select("doc_id", "key", "n", "cls"), comp)
 
 
 def named(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Of (doc_id, n, cls) with the components of classes (node, comp), each document with the least doc_id that it reaches.
+    """Of (doc_id, key, n, cls) with the components of classes (node, comp), each document with the least doc_id that it reaches.
 
     Classes of one document without links keep it; those of a thousandth of all documents and more, which can be a thousand at most,
     are sent to all tasks, so that no task gets all documents of one."""
     classes = saved(members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs")).join(comp.withColumnRenamed("node", "cls"), "cls", "left"), "members")
     linked = classes.where("comp is not null").groupBy("comp").agg(F.min("least").alias("of_all"))
-    several = classes.where("comp is not null or docs > 1").join(linked, "comp", "left").select("cls", "docs", F.coalesce("of_all", "least").alias("component"))
+    several = classes.where("comp is not null or docs > 1").join(linked, "comp", "left").select("cls", "docs", F.coalesce("of_all", "least").alias("component"), "comp")
     several = saved(several, "components")
     total = classes.agg(F.sum("docs")).first()[0] or 0
-    hot = several.where(F.col("docs") > max(1000, total // HOT_SHARE)).select("cls", "component")
-    out = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("cls").alias("class_id")]
+    hot = several.where(F.col("docs") > max(1000, total // HOT_SHARE)).select("cls", "component", "comp")
+    out = ["doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("cls").alias("class_id"), F.coalesce("comp", "cls").alias("group_id")]
     full = members.where("cls is not null")
     often = full.join(F.broadcast(hot), "cls").select(*out)
-    seldom = full.join(F.broadcast(hot.select("cls")), "cls", "left_anti").join(several.select("cls", "component"), "cls", "left").select(*out)
-    empty = members.where("cls is null").withColumn("component", F.col("doc_id")).select(*out)
+    seldom = full.join(F.broadcast(hot.select("cls")), "cls", "left_anti").join(several.select("cls", "component", "comp"), "cls", "left").select(*out)
+    empty = members.where("cls is null").withColumns({"component": F.col("doc_id"), "comp": F.lit(None).cast("long")}).select(*out)
     return often.unionByName(seldom).unionByName(empty)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_and_text, text_slices
+from .base import id_and_text, ready, slices_of, text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -202,19 +202,25 @@ class Packer:
             yield self.sequence(min(self.limits.tokens, 1 << (self.tokens.bit_length() - 1)))
 
 
-def _rows(sequences: Iterator[list[tuple]], first: int) -> Iterator[pa.RecordBatch]:
+def _rows(sequences: Iterator[list[tuple]], first: int, schema: pa.Schema = _ARROW) -> Iterator[pa.RecordBatch]:
+    """Batches of a schema's columns; where it has several before start, a piece's document is a tuple of them."""
+    several = schema.get_field_index("start") > 1
     rows: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     for k, pieces in enumerate(sequences):
         offset = 0
         for doc, start, ids, total, loss in pieces:
             n = len(ids) // 4
-            rows.append((doc, start, n, ids, total, loss, first + k, offset))
+            rows.append((*(doc if several else (doc,)), start, n, ids, total, loss, first + k, offset))
             offset += n
         if len(rows) >= 2000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+            yield out()
             rows = []
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        yield out()
 
 
 def pack(examples: Iterator[tuple], limits: Limits, window: int) -> Iterator[list[tuple]]:
@@ -242,19 +248,31 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
     return id_and_text(docs).mapInArrow(run, SCHEMA)
 
 
+TURNS = "conv_id long, turn long, example long, start long, length long, ids binary, example_tokens long, loss_tokens long, sequence_id long, offset long"
+_TURNS = pa.schema([(f.split(" ")[0], pa.binary() if f.endswith("binary") else pa.int64()) for f in TURNS.split(", ")])
+
+
 def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits = Limits(2048, 32, 1536), window: int = 256, loss_role: str = "assistant") -> DataFrame:
-    """Instruction data (conv_id, turn, role, text): every turn is an example, and only turns of loss_role bear loss."""
+    """Instruction data (conv_id, turn, role, text): every turn is an example, and only turns of loss_role bear loss.
+
+    A row for each piece: its conversation, turn and example (a number that no other row of the table has), then as in pack_documents().
+    Null texts have the terminator alone, a null role bears no loss, null identifiers stay null, and rows that repeat a turn are examples
+    of their own; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_encoder(tokenizer_path), np.array([1], dtype="<u4").tobytes()
+        context = TaskContext.get()
+        base = (context.partitionId() if context else 0) << 33
 
         def examples() -> Iterator[tuple]:
-            for b in batches:
-                for c, text, role in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            number = base
+            for b in (x for batch in batches for x in slices_of(batch, 2)):
+                for c, turn, text, role in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                     ids = encode(text or "") + end
-                    yield c, ids, len(ids) // 4 * (role == loss_role)
+                    yield (c, turn, number), ids, len(ids) // 4 * (role == loss_role)
+                    number += 1
 
-        context = TaskContext.get()
-        yield from _rows(pack(examples(), limits, window), (context.partitionId() if context else 0) << 33)
+        yield from _rows(pack(examples(), limits, window), base, _TURNS)
 
-    return turns.select(F.col("conv_id").cast("long"), "text", "role").mapInArrow(run, SCHEMA)
+    ready(turns.sparkSession)
+    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text", "role").mapInArrow(run, TURNS)

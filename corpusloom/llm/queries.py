@@ -23,7 +23,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("class_id")
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("class_id", "group_id", "key")
 
 
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(documents(spark, sf_dir)).drop("locator")
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir)).drop("locator", "key")
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,14 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of all conversations packed under limits on tokens, segments and loss-bearing tokens."""
+    pieces = packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), tokenizer("word_bpe_49k.json"))
+    return pieces.select("conv_id", "turn", "start", "length", F.crc32("ids").alias("ids_crc32"), "example_tokens", "loss_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_kd_sharding, op4_suffix_dedup, op5_toxicity, op6_license_scan, op7_tiff, op8_substring_dedup, op9_exact_dedup, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_kd_sharding, op4_suffix_dedup, op5_toxicity, op6_license_scan, op7_tiff, op8_substring_dedup, op9_exact_dedup, op10_bpe_codec, conversation_packing)}
 
 
 #: Fixed value: exact dedup as SQL has it.

@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import hashing as H
-from .base import id_and_text, partitions, saved, text_slices
+from .base import id_and_text, partitions, saved, slices_of, text_slices
 
 NULL_ID = -(1 << 63)
 SLICE = 1_000_000
@@ -269,18 +270,15 @@ def meet(first_stays: bool, parts: int, hot: int = HOT) -> Callable:
     return run
 
 
-LATE = "part int, late boolean, blob binary, doc_id long, text string, key long"
-
-
 def beside(blobs: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
-    """Blobs and texts (doc_id, text, key) of each partition, the blobs first, in the columns of LATE."""
-    early = blobs.select("part", F.lit(False).alias("late"), "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("key"))
-    late = rows.select(home(parts).alias("part"), F.lit(True).alias("late"), F.lit(None).cast("binary").alias("blob"), "doc_id", "text", "key")
+    """Blobs and texts (doc_id, text, key, ...) of each partition, the blobs first: (part, late, blob, doc_id, text, key, ...)."""
+    early = blobs.select("part", F.lit(False).alias("late"), "blob", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    late = rows.select(home(parts).alias("part"), F.lit(True).alias("late"), F.lit(None).cast("binary").alias("blob"), *rows.columns)
     return early.unionByName(late).repartitionById(parts, F.col("part")).sortWithinPartitions("late")
 
 
-def streamed(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[np.ndarray, list, list, list]]:
-    """From a partition of beside(): its records, in order of documents, with each slice of ids, texts and keys."""
+def streamed(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[np.ndarray, list, list, list, pa.RecordBatch]]:
+    """From a partition of beside(): its records, in order of documents, with each slice of ids, texts and keys, and as a batch."""
     blobs: list[bytes] = []
     records = None
     for b in batches:
@@ -292,9 +290,8 @@ def streamed(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tupl
             records = unpacked(blobs, kind)
             records = records[np.lexsort((records["start"], records["key"], records["doc"]))]
             blobs.clear()
-        late = b.slice(early)
-        for ids, texts, keys in text_slices(iter([pa.RecordBatch.from_arrays([late.column(3), late.column(4), late.column(5)], names=["doc_id", "text", "key"])]), SLICE, True):
-            yield records, ids, texts, keys
+        for x in slices_of(b.slice(early), 4, SLICE):
+            yield records, x.column(3).to_pylist(), x.column(4).to_pylist(), x.column(5).to_pylist(), x
 
 
 def bounds_of(records: np.ndarray, ids: list, keys: list) -> list[tuple[int, int]]:
@@ -341,7 +338,7 @@ def give(w: Windows, parts: int) -> Callable:
             if rows:
                 yield batch(rows)
 
-        for asked, ids, texts, keys in streamed(batches, ASK):
+        for asked, ids, texts, keys, _ in streamed(batches, ASK):
             for text, (lo, hi) in zip(texts, bounds_of(asked, ids, keys), strict=True):
                 if lo == hi or lo in done:  # rows that repeat a document
                     continue
@@ -451,8 +448,10 @@ def runs(head: np.ndarray, place: np.ndarray, start: np.ndarray, size: int) -> n
     return out
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+#: What a cut gives, before the columns that are carried along.
 CUT = "doc_id long, key long, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-_CUT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+_CUT = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), SPANS, pa.binary()]
 
 
 def cut(w: Windows) -> Callable:
@@ -477,10 +476,11 @@ def cut(w: Windows) -> Callable:
         return n, int(gone.sum()), [{"start": s, "end": e} for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)], kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ranges, ids, texts, keys in streamed(batches, RANGE):
-            rows = [(i, k, *without(text.encode(), ranges[lo:hi])) for i, k, text, (lo, hi) in zip(ids, keys, texts, bounds_of(ranges, ids, keys), strict=True)]
-            if rows:
-                yield batch(rows, _CUT)
+        for ranges, ids, texts, keys, whole in streamed(batches, RANGE):
+            done = [without(text.encode(), ranges[lo:hi]) for text, (lo, hi) in zip(texts, bounds_of(ranges, ids, keys), strict=True)]
+            columns = [pa.array(c, t) for c, t in zip([ids, keys, *zip(*done, strict=True)], _CUT, strict=True)]
+            more = [whole.column(4), whole.column(6)] if whole.num_columns > 6 else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "key", "n_units", "n_removed", "spans", "kept", *["text", "carried"][: len(more)]])
 
     return run
 
@@ -492,8 +492,9 @@ def asked_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc", "key"])
 
 
-def removed(docs: DataFrame, w: Windows, first_stays: bool, find: Callable, heavy: int = HEAVY, hot: int = HOT) -> DataFrame:
-    """Documents without the windows that occur elsewhere (first_stays: earlier), and the spans that went, in symbols; key: xxhash64 of the text.
+def removed(docs: DataFrame, w: Windows, first_stays: bool, find: Callable, heavy: int = HEAVY, hot: int = HOT, carry: bool = False) -> DataFrame:
+    """Documents without the windows that occur elsewhere (first_stays: earlier), and the spans that went, in symbols; key: xxhash64 of the
+    text. carry: with the text, and a struct carried of all other columns of docs.
 
     A stretch has fewer than twice a window's symbols, for which 16 bits must do."""
     if not 0 < w.gram <= w.size < 1 << 15:
@@ -511,4 +512,10 @@ def removed(docs: DataFrame, w: Windows, first_stays: bool, find: Callable, heav
         askable = rows.join(F.broadcast(here), (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("doc")) & (F.col("key") == F.col("its_key")), "left_semi")
     given = beside(asked, askable, parts).mapInArrow(give(w, parts), BLOB)
     found = given.repartitionById(parts, F.col("part")).mapInArrow(compare(w, find, first_stays, parts), BLOB)
-    return beside(ranges.unionByName(found), rows, parts).mapInArrow(cut(w), CUT)
+    whole = rows
+    if carry:
+        kinds = [f for f in docs.schema if f.name != "text"]
+        text = F.coalesce("text", F.lit(""))
+        whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"), F.struct(*[F.col("`" + f.name.replace("`", "``") + "`") for f in kinds]).alias("carried"))
+    schema = StructType([*StructType.fromDDL(CUT), *[f for f in whole.schema if carry and f.name in ("text", "carried")]])
+    return beside(ranges.unionByName(found), whole, parts).mapInArrow(cut(w), schema)

@@ -43,6 +43,6 @@ def elsewhere(body: np.ndarray, head: np.ndarray, size: int, first_level: int =
     return place, head["start"][place].astype(np.int64) + start
 
 
-def remove_repeated_windows(docs: DataFrame, length: int = 35, gram: int = 6) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, length: int = 35, gram: int = 6, carry: bool = False) -> DataFrame:
     """A row for each document: its words, those removed, the removed spans and the words that stay, joined by single blanks."""
-    return removed(docs, Windows(length, gram, True), False, elsewhere)
+    return removed(docs, Windows(length, gram, True), False, elsewhere, carry=carry)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_and_text, text_slices
+from .base import id_and_text, slices_of, text_slices
 
 # Fixed values of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317
@@ -248,19 +248,25 @@ def read(data: bytes) -> list[dict]:
 
 
 ROW_BYTES, PAGE_ROWS = 64, 1024
+#: How payloads are stored, in turn by their checksum, so that payloads of every length go through every codec and layout. LZW, whose
+#: coder is a loop over bytes, has one turn of eight.
+LAYOUTS = [
+    {"how": LZW, "predictor": 2, "strip_rows": 128},
+    {"how": PACKBITS, "strip_rows": 512},
+    {"how": DEFLATE, "predictor": 2, "tile": (64, 64)},
+    {"how": DEFLATE, "strip_rows": 512, "order": ">"},
+    {"how": PACKBITS, "tile": (32, 32), "order": ">"},
+    {"how": OLD_DEFLATE, "predictor": 2, "strip_rows": 100},
+    {"how": DEFLATE, "tile": (256, 64)},
+    {"how": NONE, "strip_rows": 256},
+]
 
 
 def store(payload: bytes) -> bytes:
-    """A payload of a positive multiple of 64 bytes as pages of 64 columns; tiny ones by the codecs that suit them, others deflated.
-
-    The LZW and PackBits coders are loops in Python, so that only payloads up to 512 bytes go through them here."""
+    """A payload of a positive multiple of 64 bytes as pages of 64 columns."""
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES)
     pages = [pixels[i : i + PAGE_ROWS] for i in range(0, len(pixels), PAGE_ROWS)]
-    if len(payload) <= 128:
-        return write(pages, PACKBITS)
-    if len(payload) <= 512:
-        return write(pages, LZW, predictor=2)
-    return write(pages, DEFLATE, tile=(256, 64)) if len(pixels) % 256 == 0 else write(pages, DEFLATE, strip_rows=512)
+    return write(pages, **LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)])
 
 
 PAGE_SCHEMA = "doc_id long, page int, width int, height int, samples int, compression string, predictor int, blocks int, tiled boolean, pixels binary"
@@ -270,7 +276,7 @@ def pages(files: DataFrame) -> DataFrame:
     """Files (doc_id, media binary) to a row for each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices_of(batch, 1)):
             for key, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = [{"doc_id": key, "page": i, **p, "pixels": p["pixels"].tobytes()} for i, p in enumerate(read(media) if media is not None else [])]
                 yield pa.RecordBatch.from_pylist(rows, schema=_PAGES)
@@ -310,7 +316,7 @@ def features(files: DataFrame) -> DataFrame:
         return key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices_of(batch, 2)):
             rows = [row(*x) for x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FEATURES, strict=True)], schema=_FEATURES)

@@ -4,7 +4,8 @@ Tokens are runs of letters and digits, in lower case. A token's evidence is what
 the log odds of each among toxic and other labelled documents. Labelled tokens come of labelled documents: a token of a toxic document
 whose evidence is strong is toxic. The field has two states, weights for the evidence and for transitions, fitted by gradient on the
 likelihood of the labelled tokens; forward-backward gives every token's marginal, and a logistic model on their sum and maximum gives
-the document's score. It is fitted on a bounded sample of labelled rows (max_rows, max_tokens); scoring covers all rows and whole texts.
+the document's score. It is fitted on a bounded sample of labelled rows (max_rows, max_bytes, max_tokens); scoring covers all rows and
+whole texts.
 
 Forward-backward over many documents at once: every token is a 2 x 2 matrix, which at a document's first token forgets the state before
 it; blocks of tokens are multiplied side by side, the blocks' products one after the other, then the blocks are gone through again.
@@ -15,6 +16,7 @@ from; labels that contradict each other count as toxic; other columns are ignore
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,10 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import make_importable
-
 from . import hashing as H
-from .base import id_and_text, text_slices
+from .base import id_and_text, ready, slices_of, text_slices
 
 #: Bytes that no token has: ASCII but for letters and digits.
 BREAK = np.array([b < 128 and not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) for b in range(256)])
@@ -204,18 +204,45 @@ def drawn(lengths: np.ndarray, places: np.ndarray, most: int) -> tuple[np.ndarra
     return places % (lengths - n + 1), n
 
 
-def log_odds(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of hashes that at least so many toxic documents have, those with evidence and its level."""
-    h, d = once(hashes, doc)
-    t = toxic[d]
-    start = H.group_starts(h)
-    if not len(start):
-        return np.empty(0, H.U), np.empty(0, np.int64)
-    yes, no = np.add.reduceat(t.astype(np.int64), start), np.add.reduceat((~t).astype(np.int64), start)
-    odds = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / ((~toxic).sum() + 1))
-    level = np.searchsorted(LEVELS, odds, side="right")
-    keep = (yes >= least) & (level > 0)
-    return h[start][keep], level[keep]
+@dataclass
+class Counts:
+    """How many toxic and how many other documents have each hash. Pairs of hash and document wait until there are enough of them, so
+    that memory is for the distinct hashes, and for those of one document."""
+
+    toxic: np.ndarray
+    most: int = 1_000_000
+
+    def __post_init__(self) -> None:
+        self.hashes, self.yes, self.no = np.empty(0, H.U), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, hashes: np.ndarray, doc: np.ndarray) -> None:
+        """Documents come in order of their numbers; the last one may go on."""
+        self.waiting.append(once(hashes, doc))
+        if sum(len(h) for h, _ in self.waiting) > self.most:
+            self.settle(int(doc.max(initial=0)))
+
+    def settle(self, before: int | None = None) -> None:
+        """Counts what waits, of documents before a number."""
+        if not self.waiting:
+            return
+        h, d = once(*(np.concatenate(x) for x in zip(*self.waiting, strict=True)))
+        done = np.ones(len(d), bool) if before is None else d < before
+        self.waiting = [(h[~done], d[~done])]
+        t = self.toxic[d[done]].astype(np.int64)
+        hashes, yes, no = np.concatenate([self.hashes, h[done]]), np.concatenate([self.yes, t]), np.concatenate([self.no, 1 - t])
+        order = np.argsort(hashes, kind="stable")
+        start = H.group_starts(hashes[order])
+        if len(start):
+            self.hashes, self.yes, self.no = hashes[order][start], np.add.reduceat(yes[order], start), np.add.reduceat(no[order], start)
+
+    def log_odds(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of hashes that at least so many toxic documents have, those with evidence and its level."""
+        self.settle()
+        odds = np.log((self.yes + 0.5) / (self.toxic.sum() + 1)) - np.log((self.no + 0.5) / ((~self.toxic).sum() + 1))
+        level = np.searchsorted(LEVELS, odds, side="right")
+        keep = (self.yes >= least) & (level > 0)
+        return self.hashes[keep], level[keep]
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 80, max_tokens: int = 150_000) -> Model | None:
@@ -229,19 +256,17 @@ def train(texts: list[str], labels: list[int], rounds: int = 80, max_tokens: int
     turn = np.argsort(np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)), kind="stable")
     texts, toxic = [texts[i] for i in turn], toxic[turn]
     raw = [lowered(t) for t in texts]
-    pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(1 + len(BEGINNINGS))]
+    counts = [Counts(toxic) for _ in range(1 + len(BEGINNINGS))]
     for numbers, held in slices(raw):
         at, _, _, word, begin = raw_tokens(held)
-        doc = np.repeat(np.array(numbers, np.int32), np.diff(at))
-        for found, hashes in zip(pairs, [word, *begin], strict=True):
-            found.append(once(hashes, doc))
-    counted = [tuple(np.concatenate(x) for x in zip(*found, strict=True)) for found in pairs]
-    del pairs
-    tables = [log_odds(h, d, toxic, 4) for h, d in counted[1:]]
+        doc = np.repeat(np.array(numbers, np.int64), np.diff(at))
+        for c, hashes in zip(counts, [word, *begin], strict=True):
+            c.add(hashes, doc)
+    tables = [c.log_odds(4) for c in counts[1:]]
     keys, levels = np.concatenate([k for k, _ in tables]), np.concatenate([v for _, v in tables])
     order = np.argsort(keys)
-    lexicon = Lexicon(log_odds(*counted[0], toxic, 3), (keys[order], levels[order]))
-    del counted
+    lexicon = Lexicon(counts[0].log_odds(3), (keys[order], levels[order]))
+    del counts
     lengths, parts = np.zeros(len(raw), np.int64), []
     for numbers, held in slices(raw):
         at, _, _, word, begin = raw_tokens(held)
@@ -269,8 +294,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 80, max_tokens: int
             m2[k] = 0.99 * m2[k] + 0.01 * g * g
             value += 0.15 * (m1[k] / (1 - 0.9**r)) / (np.sqrt(m2[k] / (1 - 0.99**r)) + 1e-12)
     x, at = [], 0
-    while at < len(raw):  # whole documents, some million tokens at once
-        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE, side="right")) - 1)
+    while at < len(raw):  # whole documents, some hundred thousand tokens at once
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE // 4, side="right")) - 1)
         own = bounds[at : end + 1] - bounds[at]
         first = np.zeros(own[-1], bool)
         first[own[:-1][np.diff(own) > 0]] = True
@@ -320,14 +345,34 @@ def tagger(model: Model | None) -> Callable:
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model | None:
-    """A model of at most max_rows labelled rows, those of least hash, whose whole texts come to the driver; only such whose crc32(doc_id) mod 4 is not 2."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def fit_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, toxic), all of them in one task, to a row with the pickled model."""
+    rows = sorted({(i, t, y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+    model = train([t for _, t, _ in rows], [int(y > 0) for _, _, y in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 32 << 20) -> Model | None:
+    """A model of labelled rows whose crc32(doc_id) mod 4 is not 2: those of least hash, max_rows at most and of max_bytes of text together.
+
+    Texts are taken whole: a document that would go beyond max_bytes is passed over. One task fits the model, whose size depends on
+    these two bounds; the driver gets numbers of bytes and the model. Rows that repeat a document and its text count once."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     seen = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
     chosen = known.where(seen).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    rows = id_and_text(docs)
+    sizes = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumn("place", F.xxhash64("doc_id"))
+    taken, room = [], max_bytes
+    for r in sorted(sizes.collect(), key=lambda r: (r["place"], r["doc_id"])):  # max_rows at most
+        if r["bytes"] <= room:
+            room -= r["bytes"]
+            taken.append((r["doc_id"], r["toxic"]))
+    if not taken:
+        return None
+    few = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int")
+    sample = rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic")
+    found = sample.repartition(1).mapInArrow(fit_here, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
 
 
 def tag(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -340,28 +385,17 @@ def clean(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
     names = docs.columns
     if model is None:
         return docs
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for b in batches:
-            for x in pieces(b, at):
+            for x in slices_of(b, at, 1_000_000):
                 bounds, _, _, word, begin = tokens([t or "" for t in x.column(at).to_pylist()])
                 first = np.zeros(len(word), bool)
                 first[bounds[:-1][np.diff(bounds) > 0]] = True
                 m = model.marginals(model.lexicon.evidence(word, begin), first)
                 yield x.filter(pa.array(model.scores(m, bounds) < threshold))
 
-    make_importable(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
-
-
-def pieces(batch: pa.RecordBatch, at: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with texts of about size characters together."""
-    held = start = 0
-    for i, t in enumerate(batch.column(at).to_pylist()):
-        held += len(t or "")
-        if held >= size:
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    ready(docs.sparkSession)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # mapInArrow takes no names with dots or backticks
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -105,7 +105,7 @@ def test_packing_many_short(spark):
     assert max(sizes.values()) == 256 and sum(n == 256 for n in sizes.values()) >= 6
     turns = spark.createDataFrame([(i, 0, ("user", "assistant")[i % 2], texts[i % 3]) for i in range(2000)], "conv_id bigint, turn bigint, role string, text string").coalesce(1)
     turns = packing.pack_conversations(turns, public_tokenizers.path("word_bpe_49k.json")).collect()
-    assert sorted((r["doc_id"], r["loss_tokens"]) for r in turns) == [(i, (1 + (i % 3 == 2)) * (i % 2)) for i in range(2000)]
+    assert sorted((r["conv_id"], r["loss_tokens"]) for r in turns) == [(i, (1 + (i % 3 == 2)) * (i % 2)) for i in range(2000)]
     assert max(Counter(r["sequence_id"] for r in turns).values()) == 32
     for limits, window in [(packing.Limits(2048, 256, 2048), 8), (packing.Limits(2048, 4, 3), 64), (packing.Limits(64, 256, 64), 16)]:
         pieces = [p for s in packing.pack(((i, bytes(4 * (1 + i % 2)), i % 2) for i in range(3000)), limits, window) for p in s]
@@ -113,9 +113,28 @@ def test_packing_many_short(spark):
 
 
 def test_conversations(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "hi there"), (1, 1, "assistant", "hello"), (2, 0, None, None)], "conv_id bigint, turn bigint, role string, text string")
-    found = packing.pack_conversations(turns, public_tokenizers.path("word_bpe_49k.json")).collect()
-    assert sum(r["loss_tokens"] for r in found if r["doc_id"] == 2) == 0 and sum(r["loss_tokens"] for r in found) == 2
+    """Each example comes back whole from its pieces, whatever the limits cut, rows that repeat a turn included."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["sun", "moon", "don't", "42"]) for _ in range(n))
+    rows = [(c, t, ("user", "assistant")[t % 2], prose(rng.randint(0, 80))) for c in range(30) for t in range(5)] + [(1, 1, "assistant", "again"), (2, 0, None, None), (None, None, "assistant", "x")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(2)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.WordEncoder(path)
+    for limits in (packing.Limits(2048, 32, 1536), packing.Limits(64, 5, 20)):
+        examples, sequences = defaultdict(list), defaultdict(list)
+        for r in packing.pack_conversations(turns, path, limits).collect():
+            examples[r["example"]].append(r)
+            sequences[r["sequence_id"]].append(r)
+        got = []
+        for pieces in examples.values():
+            pieces.sort(key=lambda r: r["start"])
+            assert [r["start"] for r in pieces] == [sum(p["length"] for p in pieces[:k]) for k in range(len(pieces))]
+            got.append((pieces[0]["conv_id"], pieces[0]["turn"], b"".join(bytes(r["ids"]) for r in pieces), sum(r["loss_tokens"] for r in pieces)))
+        want = [(c, t, ids, len(ids) // 4 * (role == "assistant")) for c, t, role, text in rows for ids in (encoder.whole(text or "") + b"\1\0\0\0",)]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        for s in sequences.values():
+            assert sum(r["length"] for r in s) <= limits.tokens and len(s) <= limits.segments and sum(r["loss_tokens"] for r in s) <= limits.loss_tokens
+    assert packing.pack_conversations(turns.limit(0), path).count() == 0
 
 
 def shingles(text):
@@ -349,14 +368,68 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_base(spark, docs, rows):
+    """The columns that the contract fixes, against a plain reading of words; whatever the method adds, base labels stay."""
+    rng = random.Random(12)
+    parts = ["MIT", "mit", "License", "LICENSE,", "apache", "general", "public", "license", "é", "x-y", "12", "\u3000", "GNU", "-", "mit license", "permission is hereby granted"]
+    more = [(1000 + i, rng.choice([" ", "\n", "/"]).join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    got = {r["doc_id"]: r for r in licenses.scan(frame).collect()}
+    for i, t in [*rows, *more]:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        places = sorted((k, label) for label, p in phrases.items() for k in range(len(w)) if w[k : k + len(p)] == p)
+        r, labels = got[i], {label for _, label in places}
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(places), ",".join(sorted(labels)))
+        assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert labels <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 and r["labels"] == ",".join(sorted(set(r["labels"].split(","))))
+        for d in r["detections"]:
+            assert 0 <= d["first_word"] <= d["last_word"] < len(w)
+
+
+def test_license_suppression():
+    """Of overlapping detections, those inside one of no lower priority go; ties by length, then label."""
+    rng = random.Random(2)
+    for _ in range(300):
+        outermost, kept = licenses.Outermost(), []
+        for _ in range(40):
+            a = rng.randint(0, 30)
+            b = a + rng.randint(1, 12)
+            fresh = not any(x <= a and b <= y for x, y in kept)
+            assert outermost.add(a, b) == fresh
+            kept += [(a, b)] * fresh
+    ordered = licenses.rules()
+    assert [r.priority for r in ordered] == sorted((r.priority for r in ordered), reverse=True) and len(licenses.TEXTS) + len(licenses.SIGNATURES) > 200
+    assert all(re.compile(r.pattern) and r.keywords and all(r.keywords) for r in ordered)
+    found = licenses.Scanner().detect("licensed under the apache license version 2 0 the license see the mit license and mit license")
+    assert ("apache-2.0" in {x[2] for x in found}) and [x[2] for x in found].count("mit") == 2
+
+
 def test_tiff(docs, none, rows):
     files = tiff.stored(docs)
     got = {r["doc_id"]: r for r in tiff.features(files).collect()}
+    pages = defaultdict(list)
+    for r in tiff.pages(files).collect():
+        pages[r["doc_id"]].append(r)
     for i, t in rows:
         b = (t or "").encode()
         b += bytes(-len(b) % 64 or (not b) * 64)
         assert (got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-64:]))
-    assert tiff.pages(files).count() >= len(rows) and tiff.features(tiff.stored(none)).count() == 0
+        assert b"".join(bytes(p["pixels"]) for p in sorted(pages[i], key=lambda p: p["page"])) == b
+    assert {p["compression"] for ps in pages.values() for p in ps} == {"none", "lzw", "deflate", "packbits"}
+    assert tiff.features(tiff.stored(none)).count() == 0 and tiff.pages(tiff.stored(none)).count() == 0
+
+
+def test_tiff_layouts():
+    """Every layout gives back payloads of one row to several pages, runs and noise alike."""
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 31, 128, 1024, 1025, 2300):
+        for payload in (rng.integers(0, 256, n * 64, dtype=np.uint8), np.zeros(n * 64, np.uint8), np.repeat(rng.integers(0, 4, n, dtype=np.uint8), 64)):
+            pixels = payload.reshape(-1, 64)
+            pages = [pixels[i : i + tiff.PAGE_ROWS] for i in range(0, n, tiff.PAGE_ROWS)]
+            for layout in tiff.LAYOUTS:
+                found = tiff.read(tiff.write(pages, **layout))
+                assert len(found) == len(pages) and b"".join(p["pixels"].tobytes() for p in found) == payload.tobytes(), (n, layout)
 
 
 @pytest.mark.parametrize("how", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS, tiff.OLD_DEFLATE])
@@ -372,47 +445,80 @@ def test_tiff_pages(how, tile):
         tiff.read(b"nothing")
 
 
-def test_exact_dedup(docs, none, rows):
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_exact_dedup(docs, none, rows, digest_bytes):
+    """With one byte of digest unlike texts clash, and are told apart by their bytes."""
     groups = defaultdict(list)
     for i, t in rows:
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i))
-    got = {r["doc_id"]: r for r in exact_dedup.exact_duplicates(docs).collect()}
+    got = {r["doc_id"]: r for r in exact_dedup.exact_duplicates(docs, digest_bytes).collect()}
     for norm, members in groups.items():
         for _, i in members:
             r = got[i]
             assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (min(members)[1], len(members), i == min(members)[1], hashlib.sha256(norm.encode()).hexdigest())
-    assert exact_dedup.exact_duplicates(none).count() == 0
+    assert len(got) == len(rows) and exact_dedup.exact_duplicates(none).count() == 0
 
 
 def test_exact_dedup_repeated_rows(spark):
-    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "ab")], "doc_id bigint, text string")
-    assert sorted(r["kept"] for r in exact_dedup.exact_duplicates(twice).collect()) == [False, False, True]
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "ab"), (None, None), (None, " \n")], "doc_id bigint, text string")
+    found = exact_dedup.exact_duplicates(twice).collect()
+    assert sorted((r["group_size"], r["kept"]) for r in found) == [(2, False), (2, True), (3, False), (3, False), (3, True)]
+    assert {r["keep_id"] for r in found if r["group_size"] == 3} == {1} and exact_dedup.exact_duplicates(twice.union(twice)).where("kept").count() == 2
 
 
 def test_exact_dedup_goes_on(spark, tmp_path):
-    """State outlives a run: later arrivals meet what came before."""
+    """State outlives a run: later arrivals meet what came before, and are compared with what its locator leads to."""
     source, state, out = (f"file://{tmp_path}/{n}" for n in ("in", "state", "out"))
     for k, batch in enumerate([[(5, "x y"), (6, "q")], [(2, "xy"), (9, "x  y")]]):
         frame = spark.createDataFrame(batch, "doc_id bigint, text string")
-        exact_dedup.arrivals(frame).coalesce(1).write.mode("append").parquet(source)
-        entries = {r["best"]["doc_id"]: r["size"] for r in exact_dedup.absorb(spark, source, state, out).collect()}
-        assert entries == ({5: 1, 6: 1} if k == 0 else {9: 3, 6: 1})
+        exact_dedup.arrive(frame, source)
+        found, unlike = exact_dedup.absorb(spark, source, state, out)
+        entries = {r["best"]["doc_id"]: r["size"] for r in found.collect()}
+        assert entries == ({5: 1, 6: 1} if k == 0 else {9: 3, 6: 1}) and unlike.isEmpty()
+    source, state, out = (f"file://{tmp_path}/weak/{n}" for n in ("in", "state", "out"))
+    for text, clashing in (("one", 0), ("one", 0), ("two", 1)):  # without any digest, the third meets the first by its locator
+        exact_dedup.arrive(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), source)
+        assert exact_dedup.absorb(spark, source, state, out, 0)[1].count() == clashing
 
 
 def test_bpe_codec(docs, none, rows):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    codec = bpe_codec.Codec(path, public_tokenizers.PATTERN, 64, 16)
+    codec = bpe_codec.Codec(path, public_tokenizers.PATTERN)
     library: tiktoken.Encoding = codec.encoding
-    got = {r["doc_id"]: r for r in bpe_codec.encode_documents(docs, path, public_tokenizers.PATTERN, 256, 32, 1000).collect()}
-    for i, t in rows:
-        assert np.frombuffer(bytes(got[i]["ids"]), "<u4").tolist() == library.encode_ordinary(t or "") and bytes(got[i]["decoded"]) == (t or "").encode()
+    for chunk, overlap, parallel in [(256, 32, 1000), (64, 16, 100), (2048, 128, 65536)]:
+        got = {r["doc_id"]: r for r in bpe_codec.encode_documents(docs, path, public_tokenizers.PATTERN, chunk, overlap, parallel).collect()}
+        for i, t in rows:
+            assert np.frombuffer(bytes(got[i]["ids"]), "<u4").tolist() == library.encode_ordinary(t or "") and bytes(got[i]["decoded"]) == (t or "").encode()
     rng = random.Random(1)
-    for _ in range(200):
-        t = "".join(rng.choice(["a", "Z", " ", "\n", "'s", "  ", "9", "!", "é", "😀", "z" * 90, " " * 40]) for _ in range(rng.randint(0, 200)))
-        assert np.frombuffer(codec.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+    parts = ["a", "Z", " ", "\n", "'s", "'re", "'", "'ll", "  ", "9", "!", "é", "😀", "z" * 90, " " * 40, "\t\t", "\u3000", "<|endoftext|>"]
+    for _ in range(600):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 120)))
+        for chunk, overlap in [(64, 16), (7, 4), (13, 3), (1, 1)]:
+            assert np.frombuffer(codec.encode(t, chunk, overlap), "<u4").tolist() == library.encode_ordinary(t), (t, chunk, overlap)
     assert bpe_codec.encode_documents(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_codec_repeated_long_rows(spark):
+    """Rows that repeat a long text, or a doc_id with another, have results of their own."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = bpe_codec.codec_of(path, public_tokenizers.PATTERN).encoding
+    long = "It's 12 o'clock, they're late;  " * 500
+    rows = [(1, long), (1, long), (1, long[:-3] + "x"), (None, long), (None, None), (2, "")]
+    found = bpe_codec.encode_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), path, public_tokenizers.PATTERN, 100, 20, 4000).collect()
+    want = sorted((str(i), library.encode_ordinary(t or "")) for i, t in rows)
+    assert sorted((str(r["doc_id"]), np.frombuffer(bytes(r["ids"]), "<u4").tolist()) for r in found) == want
+
+
+def stage(name):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def as_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
@@ -420,13 +526,49 @@ def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame([(7, 0)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "substring_dedup", "packing"]
     sizes, stage_docs = [docs.count()], spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
-        out = stage(spark, stage_docs, str(tmp_path))
-        assert out.columns == docs.columns
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = f(spark, stage_docs, str(tmp_path))
+        assert out.columns == docs.columns and [x.dataType for x in out.schema] == [x.dataType for x in docs.schema]
         out.write.parquet(f"{tmp_path}/stage{k}")
-        stage_docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        before, stage_docs = stage_docs, spark.read.parquet(f"{tmp_path}/stage{k}")
         sizes.append(stage_docs.count())
-    norm = {re.sub(r"[\x20\x09-\x0D]", "", t or "") for t in texts()}
-    assert sizes[1] == sizes[0] and sizes[2] == len(norm) and sizes[3] < sizes[2]
+        kept = {(r["doc_id"], r["text"] or "") for r in stage_docs.collect()}
+        held = {r["doc_id"]: r["text"] or "" for r in before.collect()}
+        if k == 1:
+            best = {}
+            for i, t in held.items():
+                best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i))
+            assert {i for i, _ in kept} == {min(m)[1] for m in best.values()}
+        if k == 2:
+            sets = {i: shingles(t) for i, t in held.items()}
+            assert {i for i, _ in kept} == {i for i, c in components(sets).items() if i == c}
+        if k == 3:
+            want = without_repeated(list(held.items()))
+            assert kept == {(i, text if gone else t) for (i, t), (n, gone, text) in want.items() if not gone or gone < n}
+    assert sizes[1] == sizes[0]
     assert corpus_pipeline.STAGES[-1][1](spark, stage_docs, str(tmp_path)).select("doc_id").distinct().count() == sizes[-1]
     assert set(queries.oracle_sql()) <= set(queries.queries())
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert whole.agg({"length": "sum"}).first()[0] == corpus_pipeline.packed(spark, stage_docs, "").agg({"length": "sum"}).first()[0]
+
+
+def test_stages_defined_cases(spark, tmp_path):
+    """Rows of one doc_id or none, repeated rows, nulls and odd column names; empty tables."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    a, b, c, d = prose(60), prose(80), prose(50), prose(40)
+    rows = [(7, a, 1.5), (7, b, 2.5), (7, b, 2.5), (None, c, None), (None, c, None), (None, d, 0.5), (None, None, 1.0), (1, "", None), (2, f"{b} x", 3.5), (9, f"{c} y z", 4.5), (3, f"{d}  ", 5.5)]
+    schema = "doc_id bigint, text string, `row` double"
+    docs = spark.createDataFrame(rows, schema).withColumnRenamed("row", "a.b `key").repartition(2)
+    exact = as_rows(stage("exact_dedup")(spark, docs, ""))
+    assert exact == sorted([(7, a, 1.5), (7, b, 2.5), (None, c, None), (None, None, 1.0), (2, f"{b} x", 3.5), (9, f"{c} y z", 4.5), (3, f"{d}  ", 5.5)], key=repr)
+    near = as_rows(stage("ngram_jaccard_join")(spark, docs, ""))
+    assert near == sorted([(7, a, 1.5), (None, None, 1.0), (1, "", None), (2, f"{b} x", 3.5), (9, f"{c} y z", 4.5), (3, f"{d}  ", 5.5)], key=repr)
+    cut = as_rows(stage("substring_dedup")(spark, docs, ""))
+    assert cut == sorted([(7, a, 1.5), (None, None, 1.0), (1, "", None), (2, "x", 3.5), (9, "y z", 4.5)], key=repr)
+    assert {r["doc_id"] for r in stage("packing")(spark, docs, "").collect()} == {7, None, 1, 2, 9, 3}
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert len(as_rows(stage("toxicity")(spark, docs, str(tmp_path)))) <= len(rows)
+    for name in ("toxicity", "exact_dedup", "ngram_jaccard_join", "substring_dedup", "packing"):
+        out = stage(name)(spark, docs.limit(0), str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
