@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import ratio
-from corpusloom.operators import bpe, code, morphology, sequences
+from corpusloom.operators import bpe, code, morphology, sequences, unigram
 from corpusloom.sources import formats
 
 
@@ -74,16 +74,24 @@ def evaluate(
         "compression": {"tokens_per_byte": tokens / size if size else 0.0, "bytes_per_token": size / tokens if tokens else 0.0},
         "oov": {"instances": rate["instances"], "rate": rate["rate"], "unique": [r["tok"] for r in lost]},
         "morphology": morphology_report(docs, language, **(morphology_options or {})),
-        "code_mode": {"mode": "plain", "documents": totals["documents"], "reduction": 0.0},
+        "code_mode": {"mode": "plain", "documents": totals["documents"], "reduction": 0.0, "config": code_config(False)},
     }
     return report
 
 
-def morphology_report(docs: DataFrame, language: str | None, **options) -> dict:
+def code_config(enabled: bool, languages: list[str] | None = None, meta: bool = False, longest: int = 8) -> dict:
+    return {"enabled": enabled, "languages_filter": languages, "meta_compress": meta, "meta_max_length": longest}
+
+
+def morphology_report(docs: DataFrame, language: str | None, case_markers: bool = True, affix_tags: bool = True) -> dict:
+    """How a language's plugin cuts the documents; the two options are Turkish's."""
+    config = {"enabled": language is not None, "language": language, "case_markers": case_markers, "affix_tags": affix_tags}
     if language is None:
-        return {"enabled": False, "tagged_segments": 0, "total_segments": 0, "purity": 0.0}
+        return {"enabled": False, "documents": 0, "tagged_segments": 0, "total_segments": 0, "average_segments": 0.0, "roles": {}, "purity": 0.0, "config": config}
+    options = {"case_markers": case_markers, "affix_tags": affix_tags} if language == "tr" else {}
     cut = morphology.segmented(docs, language, **options).persist()
-    out = {"enabled": True} | morphology.totals(cut).first().asDict() | {"roles": {r["role"]: r["cnt"] for r in morphology.roles(cut).orderBy("role").collect()}}
+    counted = {r["role"]: r["cnt"] for r in morphology.roles(cut).where("role in ('affix', 'case')").orderBy("role").collect()}
+    out = {"enabled": True} | morphology.totals(cut).first().asDict() | {"roles": counted, "config": config}
     cut.unpersist()
     return out
 
@@ -112,7 +120,7 @@ def evaluate_code(spark: SparkSession, sources: DataFrame, vocab: dict[str, int]
         "corpus": {"documents": n, "total_bytes": size, "total_tokens": total, "average_bytes": size / n if n else 0.0, "average_tokens": total / n if n else 0.0},
         "compression": {"tokens_per_byte": total / size if size else 0.0, "bytes_per_token": size / total if total else 0.0},
         "oov": {"instances": a["instances"] + b["instances"], "rate": (a["instances"] + b["instances"]) / total if total else 0.0, "unique": lost},
-        "code_mode": {"mode": "code", "documents": n, "ast_samples": kinds.get("ast", 0), "fallback_samples": kinds.get("bytes", 0), "languages": languages, "meta_compress": metas, "reduction": cut},
+        "code_mode": {"mode": "code", "documents": n, "ast_samples": kinds.get("ast", 0), "fallback_samples": kinds.get("bytes", 0), "languages": languages, "meta_compress": metas, "reduction": cut, "config": code_config(True, None, meta, longest)},
     }
 
 
@@ -169,11 +177,22 @@ def violations(value: Any, schema: dict, root: dict | None = None, at: str = "$"
     return out
 
 
-def from_files(spark: SparkSession, paths: list[str], vocab_path: str, merges_path: str | None = None, **options) -> dict[str, Any]:
-    """The report of text files, by lines, with a vocabulary and merges read from files."""
+def from_files(spark: SparkSession, paths: list[str], vocab_path: str, merges_path: str | None = None, tokenizer: str | None = None, segmentation: str | None = None, **options) -> dict[str, Any]:
+    """The report of text files, by lines, with a vocabulary and merges read from files.
+
+    segmentation: viterbi cuts texts into the scored pieces of a .vocab or .prob file; otherwise merges alone are applied."""
     from corpusloom.sources import files
 
     vocab = formats.vocabulary(vocab_path)
     merges = formats.merge_rules(merges_path, vocab) if merges_path else []
-    artifacts = {"vocab": vocab_path, "merges": merges_path, "model_type": model_type(vocab_path, merges_path, options.pop("model", None))}
-    return evaluate(spark, files.lines(spark, paths), vocab, merges, artifacts=artifacts, **options)
+    artifacts = {"vocab": vocab_path, "merges": merges_path, "tokenizer": tokenizer, "model_type": model_type(vocab_path, merges_path, options.pop("model", None))}
+    segment = None
+    if segmentation == "viterbi":
+        pieces, scores = formats.imported_pieces(formats.scored_pieces(vocab_path))
+        pieces += [bytes([b]) for b in range(256) if bytes([b]) not in set(pieces)]  # so that every text has a path
+        scores += [min(scores, default=0.0) - 10.0] * (len(pieces) - len(scores))
+        model = unigram.Vocabulary(pieces, scores)
+        segment = lambda seqs: unigram.segment(seqs, model)
+    elif segmentation is not None:
+        raise ValueError(f"unknown segmentation {segmentation}")
+    return evaluate(spark, files.lines(spark, paths), vocab, merges, artifacts=artifacts, segment=segment, **options)

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,10 @@ def relative(counts: DataFrame, threshold: float) -> DataFrame:
     return marked.select("tok", "cnt", (F.row_number().over(Window.orderBy("tok")) - 1).alias("new_id"))  # a vocabulary, not a corpus
 
 
-def standing_vector(token: str, size: int) -> list[float]:
-    """A token's own random vector, for tokens without one."""
-    rng = random.Random(int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "big"))
-    return [rng.gauss(0.0, 1.0) for _ in range(size)]
+def standing_vector(token: str, size: int, seed: int = 0) -> list[float]:
+    """What stands for a token without a vector when tokens are compared: numbers between -1 and 1 that depend on token and seed."""
+    rng = random.Random(int.from_bytes(hashlib.sha256(f"{seed}:{token}".encode()).digest()[:8], "big"))
+    return [rng.uniform(-1.0, 1.0) for _ in range(max(1, size))]
 
 
 def similarity(x: list[float], y: list[float]) -> float:
@@ -51,44 +52,51 @@ def similarity(x: list[float], y: list[float]) -> float:
     return sum(p * q for p, q in pairs) / (a * b) if a and b else -1.0
 
 
+def mixed(x: list[float], w: float, y: list[float], v: float) -> list[float]:
+    """The mean of two vectors by weights, the shorter one filled with zeros."""
+    return [(w * p + v * q) / (w + v) for p, q in zip_longest(x, y, fillvalue=0.0)]
+
+
 class Clusters:
-    """Tokens in order: each joins the most similar cluster (the later one among equals) from the threshold on, or makes its own."""
+    """Tokens in order: each joins the most similar cluster (the later one among equals) from the threshold on, or makes its own.
+
+    A cluster is compared by the mean of what its tokens are compared by, made-up vectors included; its own vector is the mean of the
+    given ones alone, null where none was given. Weights are counts, 1 for a count of 0. Tokens to keep are never joined to others."""
 
     def __init__(self, threshold: float, keep: set[str]) -> None:
         self.threshold, self.keep = threshold, keep
         self.heads: list[dict] = []
         self.log: list[dict] = []
 
-    def add(self, token: str, ident: int, count: float, vector: list[float]) -> None:
-        best, at = -2.0, None
-        if token not in self.keep:
-            for i, h in enumerate(self.heads):
-                s = similarity(vector, h["vector"])
-                if s >= self.threshold and s >= best:
-                    best, at = s, i
-        if at is None:
-            self.heads.append({"token": token, "id": ident, "count": count, "vector": list(vector)})
+    def add(self, token: str, ident: int, count: float, vector: list[float] | None, compared: list[float]) -> None:
+        best, into = self.threshold, None
+        for h in self.heads if token not in self.keep else []:
+            if (s := similarity(compared, h["compared"])) >= best:
+                best, into = s, h
+        weight = count if count > 0 else 1.0
+        if into is None:
+            self.heads.append({"token": token, "id": ident, "count": count, "vector": vector, "weight": weight if vector else 0.0, "compared": compared})
             return
-        head = self.heads[at]
-        total = head["count"] + count
-        share = count / total if total else 0.5
-        head["vector"] = [(1 - share) * p + share * q for p, q in zip(head["vector"], vector, strict=False)]
-        head["count"] = total
-        self.log.append({"token": token, "id": ident, "count": count, "merged_into": head["token"], "similarity": best, "action": "merged"})
+        into["compared"] = mixed(into["compared"], into["count"] if into["count"] > 0 else 1.0, compared, weight)
+        into["count"] += count
+        if vector:
+            into["vector"] = mixed(into["vector"], into["weight"], vector, weight) if into["vector"] else vector
+            into["weight"] += weight
+        self.log.append({"token": token, "id": ident, "count": count, "merged_into": into["token"], "similarity": best, "action": "deduped"})
 
 
-def deduplicated(vocab: DataFrame, threshold: float, keep: list[str] | None = None, size: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary (token, id, count, vector) by clusters, and the log of merges. The order of tokens decides, so that one task does it
+def deduplicated(vocab: DataFrame, threshold: float, keep: list[str] | None = None, size: int = 16, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary (token, id, count, vector) by clusters, and the log of merges; a threshold of 0 or less merges nothing. The order of tokens decides, so that one task does it
     over the vocabulary, in order of ids; pairs() is the parallel form."""
     head = "token string, id bigint, count double, vector array<double>"
     log = "token string, id bigint, count double, merged_into string, similarity double, action string"
 
     def run(which: str):
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = Clusters(threshold, set(keep or ()))
+            c = Clusters(threshold if threshold > 0 else math.inf, set(keep or ()))
             for b in batches:
                 for t, i, n, v in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                    c.add(t, i, n or 0.0, v if v else standing_vector(t, size))
+                    c.add(t, i, n or 0.0, v or None, v or standing_vector(t, size, seed))
             rows = c.heads if which == "heads" else c.log
             numbers = pa.list_(pa.float64())
             kinds = [("token", pa.string()), ("id", pa.int64()), ("count", pa.float64())] + ([("vector", numbers)] if which == "heads" else [("merged_into", pa.string()), ("similarity", pa.float64()), ("action", pa.string())])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -39,17 +40,24 @@ class Hybrid:
         return Hybrid(merges, vocab, data.get("cycles", 0), list(data.get("phase_history", [])))
 
 
-def fit(seqs: DataFrame, cycles: int, merges_each: int, epochs: int, target: int, longest: int = 16, start: Hybrid | None = None, seconds: float | None = None) -> Hybrid:
-    """Cycles over the original sequences; each starts from the merges so far. A time budget ends between cycles."""
+def fit(
+    seqs: DataFrame, cycles: int, merges_each: int, epochs: int, target: int, longest: int = 16, start: Hybrid | None = None, seconds: float | None = None, warm: list[tuple[int, int]] | None = None,
+    freeze: bool = False, min_count: int = 2, tie_seed: int | None = None, on_cycle: Callable[[Hybrid], None] | None = None,
+) -> Hybrid:
+    """Cycles over the original sequences, those of start included; each starts from the merges so far, the first from warm.
+
+    freeze, min_count and tie_seed are what train() takes; a time budget ends between cycles, and on_cycle follows each."""
     out, began = start or Hybrid(), time.monotonic()
     while out.cycles < cycles and (seconds is None or time.monotonic() - began < seconds):
-        warm = [(m[1], m[2]) for m in out.merges]
-        out.merges = bpe.train(seqs, len(warm) + merges_each, warm=warm)
+        before = [(m[1], m[2]) for m in out.merges] or list(warm or [])
+        out.merges = bpe.train(seqs, len(before) + merges_each, min_count=min_count, warm=before, freeze=freeze, tie_seed=tie_seed)
         found = bpe.pieces([m[1:4] for m in out.merges])
         names = list(dict.fromkeys(found[i] for i in sorted(found)))
-        start_vocab = unigram.Vocabulary.of_bytes(names)
-        start_vocab.base = 256
-        out.vocabulary = unigram.fit(seqs, epochs, target, longest, start_vocab, "corpus")
+        first = unigram.Vocabulary.of_bytes(names)
+        first.base = 256
+        out.vocabulary = unigram.fit(seqs, epochs, target, longest, first, "corpus")
         out.cycles += 1
         out.history.append({"cycle": out.cycles, "merges": len(out.merges), "vocab": len(out.vocabulary.pieces)})
+        if on_cycle:
+            on_cycle(out)
     return out

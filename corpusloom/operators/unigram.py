@@ -41,6 +41,14 @@ class Vocabulary:
     def by_piece(self) -> dict[bytes, int]:
         return {p: i for i, p in reversed(list(enumerate(self.pieces)))}
 
+    def state(self) -> dict:
+        """For a checkpoint."""
+        return {"pieces": [p.hex() for p in self.pieces], "logp": list(self.logp), "base": self.base, "history": list(self.history)}
+
+    @staticmethod
+    def from_state(state: dict) -> Vocabulary:
+        return Vocabulary([bytes.fromhex(p) for p in state["pieces"]], [float(v) for v in state["logp"]], int(state["base"]), list(state["history"]))
+
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, bytearray(p), float(v)) for i, (p, v) in enumerate(zip(self.pieces, self.logp, strict=True))]
         return spark.createDataFrame(rows, "piece_id bigint, piece binary, logp double")
@@ -191,13 +199,15 @@ def epoch(seqs: DataFrame, vocab: Vocabulary, target: int, longest: int, scope:
     return Vocabulary(pieces, np.log(p).tolist(), vocab.base, [*vocab.history, record])
 
 
-def fit(seqs: DataFrame, epochs: int, target: int, longest: int = 8, start: Vocabulary | None = None, scope: str = "first_batch", batch_size: int = 32, deadline=None) -> Vocabulary:
-    """Several epochs; deadline() true ends training between them."""
+def fit(seqs: DataFrame, epochs: int, target: int, longest: int = 8, start: Vocabulary | None = None, scope: str = "first_batch", batch_size: int = 32, deadline=None, on_epoch=None) -> Vocabulary:
+    """Several epochs, those of start included; deadline() true ends training between them, and on_epoch(vocabulary) follows each."""
     vocab = start or Vocabulary.of_bytes()
-    for _ in range(epochs):
+    for _ in range(len(vocab.history), epochs):
         if deadline and deadline():
             break
         vocab = epoch(seqs, vocab, target, longest, scope, batch_size)
+        if on_epoch:
+            on_epoch(vocab)
     return vocab
 
 

@@ -97,6 +97,12 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return numbered(cut, ["path", "_start", "_row", "_line"], "doc_id").select("doc_id", "path", "text")
 
 
+def lines_of(shard: DataFrame) -> DataFrame:
+    """lines() of shards (path, content), whose contents are at hand as a whole, as decompressed() gives them."""
+    cut = shard.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), LINE_ENDS)).alias("_line", "text")).where("text != ''")
+    return numbered(cut, ["path", "_line"], "doc_id").select("doc_id", "path", "text")
+
+
 def code(spark: SparkSession, paths: list[str], languages: set[str] | None = None) -> DataFrame:
     """(path, pos, language, source, filename) of manifests (.json, .jsonl, .ndjson: a list, or entries) and of source files by suffix."""
     entry = "struct<language:string,source:string,filename:string>"

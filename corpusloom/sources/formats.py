@@ -5,26 +5,16 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from typing import Any
 
-from pyspark.sql import SparkSession
-
 from corpusloom.functions.tokens import alphabet
-
-
-def text_of(path: str) -> str:
-    """A file's text, through Spark, so that the path may be of any store."""
-    spark = SparkSession.getActiveSession()
-    if spark is None or "://" not in path and not path.startswith("/"):
-        with open(path, encoding="utf-8") as f:
-            return f.read()
-    rows = spark.read.format("binaryFile").load(path).select("content").collect()
-    return bytes(rows[0]["content"]).decode("utf-8")
+from corpusloom.sources.store import exists, read_text
 
 
 def vocabulary(path: str) -> dict[str, int]:
     """Tokens to ids: a JSON map, or a .vocab or .prob file by lines, where the first line of a token counts."""
-    text = text_of(path)
+    text = read_text(path)
     if path.endswith(".json"):
         data = json.loads(text)
         data = data.get("model", {}).get("vocab", data) if isinstance(data, dict) else {t: i for i, t in enumerate(data)}
@@ -50,7 +40,7 @@ def merge_rules(path: str, vocab: dict[str, int], strict_compat: bool = False) -
     """(left, right, new_id) of a merges file in any of its forms: lists of ids or names, mappings with left, right and id, or lines.
 
     strict_compat takes lines and the mapping by step as giving no rules."""
-    text = text_of(path)
+    text = read_text(path)
     if path.endswith(".json"):
         data = json.loads(text)
         if isinstance(data, dict):
@@ -81,7 +71,7 @@ def rule(x: Any, vocab: dict[str, int], step: int) -> tuple[int, int, int] | Non
 def stats(path: str) -> list[tuple[str, float, list[float] | None]]:
     """(token, count, vector) of a JSON map whose values are a number, a vector, or a mapping with count or frequency and vector."""
     out = []
-    for token, v in json.loads(text_of(path)).items():
+    for token, v in json.loads(read_text(path)).items():
         if isinstance(v, (int, float)):
             out.append((token, float(v), None))
         elif isinstance(v, list):
@@ -94,12 +84,12 @@ def stats(path: str) -> list[tuple[str, float, list[float] | None]]:
 
 def ranks(path: str) -> dict[bytes, int]:
     """Pieces and ranks of lines `base64 rank`."""
-    return {base64.b64decode(a): int(b) for a, b in (r.split() for r in text_of(path).splitlines() if r.strip())}
+    return {base64.b64decode(a): int(b) for a, b in (r.split() for r in read_text(path).splitlines() if r.strip())}
 
 
 def tokenizer(path: str) -> tuple[dict[str, int], list[tuple[int, int, int]]]:
     """Vocabulary and merges of a tokenizer.json, whose merges must all name tokens that it has."""
-    model = json.loads(text_of(path))["model"]
+    model = json.loads(read_text(path))["model"]
     vocab = {t: int(i) for t, i in model["vocab"].items()}
     out = []
     for m in model.get("merges", []):
@@ -110,6 +100,29 @@ def tokenizer(path: str) -> tuple[dict[str, int], list[tuple[int, int, int]]]:
     return vocab, out
 
 
+def pair_of_files(folder: str) -> tuple[dict[str, int], list[tuple[int, int, int]]]:
+    """Vocabulary and merges of a folder with tokenizer.json, or with vocab.json and merges.txt; where it has both, they must agree."""
+    found = []
+    if exists(f"{folder}/tokenizer.json"):
+        found.append(tokenizer(f"{folder}/tokenizer.json"))
+    if exists(f"{folder}/vocab.json") and exists(f"{folder}/merges.txt"):
+        vocab = vocabulary(f"{folder}/vocab.json")
+        merges = []
+        for number, row in enumerate(read_text(f"{folder}/merges.txt").splitlines()):
+            if not row.strip() or (number == 0 and row.startswith("#version")):
+                continue
+            left, _, right = row.partition(" ")
+            if left not in vocab or right not in vocab or left + right not in vocab:
+                raise ValueError(f"line {number + 1} of merges.txt: a merge of tokens that vocab.json lacks: {row}")
+            merges.append((vocab[left], vocab[right], vocab[left + right]))
+        found.append((vocab, merges))
+    if not found:
+        raise FileNotFoundError(f"neither tokenizer.json nor vocab.json and merges.txt in {folder}")
+    if len(found) == 2 and (found[0][1] != found[1][1] or any(found[1][0].get(t, i) != i for t, i in found[0][0].items())):
+        raise ValueError(f"tokenizer.json and the files beside it in {folder} disagree")
+    return found[0]
+
+
 def scored_pieces(path: str) -> list[tuple[str, float]]:
     """(piece, score) of a .vocab file, or of a .model file where its package is installed."""
     if path.endswith(".model"):
@@ -118,31 +131,64 @@ def scored_pieces(path: str) -> list[tuple[str, float]]:
         model = sentencepiece.SentencePieceProcessor(model_file=path.removeprefix("file://"))
         return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
     out = []
-    for row in text_of(path).splitlines():
+    for row in read_text(path).splitlines():
         piece, _, score = row.partition("\t")
         if score and is_number(score):
             out.append((piece, float(score)))
     return out
 
 
+def imported_pieces(scored: list[tuple[str, float]], size: int | None = None, missing: float = -20.0) -> tuple[list[bytes], list[float]]:
+    """Pieces as bytes with their scores, as many as size, if it is given: cut off, or filled with unused pieces of the missing score.
+
+    A lower one eighth block stands for a blank, and <0xNN> for a byte."""
+    pieces, scores = [], []
+    for text, score in scored[:size]:
+        byte = re.fullmatch(r"<0x([0-9A-Fa-f]{2})>", text)
+        pieces.append(bytes.fromhex(byte[1]) if byte else text.replace("▁", " ").encode())
+        scores.append(score)
+    for i in range(len(pieces), size or 0):
+        pieces.append(f"<unused{i}>".encode())
+        scores.append(missing)
+    return pieces, scores
+
+
+def hex_piece(piece: bytes) -> str:
+    return piece.hex()
+
+
+def piece_of(text: str) -> bytes:
+    """The bytes of a piece in a checkpoint: hexadecimal digits; what is none is taken as Latin-1, or as UTF-8."""
+    try:
+        return bytes.fromhex(text)
+    except ValueError:
+        try:
+            return text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.encode()
+
+
 def warm_start(path: str) -> list[tuple[int, int]]:
-    """The pairs to start from, of a tokenizer.json, a rank file, a merges file or a manifest of merges."""
+    """The pairs to start from, of a folder of tokenizer files, a tokenizer.json, a rank file, a merges file or a manifest of merges."""
+    if "." not in path.rstrip("/").rsplit("/", 1)[-1]:
+        for name in ("bpe_merges.json", "hybrid_manifest.json", "merges.tiktoken"):
+            if exists(f"{path}/{name}"):
+                return warm_start(f"{path}/{name}")
+        return [(a, b) for a, b, _ in pair_of_files(path)[1]]
     if path.endswith("tokenizer.json"):
         return [(a, b) for a, b, _ in tokenizer(path)[1]]
     if path.endswith(".tiktoken"):
-        found = ranks(path)
-        return [(a, b) for _, a, b in splits(found)]
+        return [(a, b) for _, a, b in splits(ranks(path))]
     if path.endswith(".txt"):
-        letters = {c: b for b, c in alphabet().items()}
-        ids: dict[str, int] = dict(letters)
+        ids: dict[str, int] = {c: b for b, c in alphabet().items()}
         out = []
-        for row in text_of(path).splitlines():
+        for number, row in enumerate(read_text(path).splitlines()):
             left, _, right = row.partition(" ")
-            if right and not row.startswith("#version") and left in ids and right in ids:
+            if right and not (number == 0 and row.startswith("#version")) and left in ids and right in ids:
                 out.append((ids[left], ids[right]))
                 ids[left + right] = 255 + len(out)
         return out
-    data = json.loads(text_of(path))
+    data = json.loads(read_text(path))
     return [(int(m["left"]), int(m["right"])) if isinstance(m, dict) else (int(m[0]), int(m[1])) for m in (data["merges"] if isinstance(data, dict) else data)]
 
 

@@ -11,10 +11,14 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The session's spark.checkpoint.dir. Where it is unset: on a local master a folder of our own, else one in the warehouse, which all
+    executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            path = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+        else:
+            path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpusloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
