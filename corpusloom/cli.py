@@ -11,7 +11,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bpe, code, evaluate, export, hybrid, morphology, sequences, unigram
+from corpusloom.operators import benchmark, bpe, code, evaluate, export, hybrid, morphology, sequences, unigram
 from corpusloom.session import session
 from corpusloom.sources import files, formats, sinks, store
 
@@ -60,6 +60,10 @@ def parser() -> argparse.ArgumentParser:
     x = made["export-embeddings"]
     x.add_argument("--vocab", required=True)
     x.add_argument("--keep-token", action="append", default=[])
+    b = made["benchmark"]
+    b.add_argument("--data", nargs="+")
+    b.add_argument("--partitions", nargs="+", type=int)
+    flags(b, ("--output-dir", "./benchmark_out"), ("--bpe-merges", 8), ("--unigram-vocab", 288), ("--max-real-docs", int), ("--synthetic-docs", 256), ("--synthetic-max-len", 512), ("--synthetic-vocab", 256), ("--tolerance", 0.1))
     flags(x, ("--output-dir", "./embeddings_out"), ("--dimension", 16), ("--stats", str), ("--min-frequency", 0.0), ("--dedupe-similarity", float))
     return p
 
@@ -203,7 +207,21 @@ def streamed(spark: SparkSession, a: argparse.Namespace) -> None:
         print(f"batch {r['batch']}: tokens={shape} mask={shape} lengths={(r['n_rows'],)}")
 
 
-HANDLERS = {"train-bpe": train_bpe, "resume-bpe": train_bpe, "train-unigram": train_unigram, "train-hybrid": train_hybrid, "evaluate": evaluated, "export-embeddings": exported, "stream-batches": streamed}
+def benchmarked(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Runs over the data, or made-up sequences; exits with the runs that have become slower than the folder's first report allows."""
+    if a.data:
+        docs = files.lines(spark, a.data)
+        seqs = sequences.encode(sequences.limited(docs, a.max_real_docs) if a.max_real_docs else docs, a.bos, a.eos)
+    else:
+        seqs = sequences.synthetic(spark, a.synthetic_docs, a.synthetic_max_len, a.synthetic_vocab, a.seed)
+    report = benchmark.run(seqs, benchmark.default_specs(a.bpe_merges, a.unigram_vocab, a.partitions), a.data or ["synthetic"])
+    benchmark.save(a.output_dir, report)
+    print(benchmark.table(report))
+    if slower := benchmark.regressions(spark, a.output_dir, a.tolerance):
+        raise SystemExit(f"slower than at first: {', '.join(slower)}")
+
+
+HANDLERS = {"train-bpe": train_bpe, "resume-bpe": train_bpe, "train-unigram": train_unigram, "train-hybrid": train_hybrid, "evaluate": evaluated, "export-embeddings": exported, "stream-batches": streamed, "benchmark": benchmarked}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -213,11 +231,6 @@ def main(argv: list[str] | None = None) -> int:
             warnings.warn(f"{flag} has no meaning here and is ignored", stacklevel=1)
     if getattr(a, "base_vocab", 256) < 256:
         raise SystemExit("--base-vocab must hold all bytes")
-    if a.command == "benchmark":
-        import bench
-
-        bench.main()
-        return 0
     spark = session(a.master)
     if getattr(a, "dry_run", False):
         summary = sequences.summary(corpus(spark, a)).first().asDict()

@@ -20,6 +20,8 @@ from corpusloom.sources.tables import saved
 
 STATE = "blob binary, keys binary, counts binary"
 BLOB_TOKENS = 2_000_000
+#: Rows of a vocabulary that is sent to all tasks at most.
+MOST_BROADCAST = 1_000_000
 Merge = tuple[int, int, int]
 
 
@@ -214,9 +216,18 @@ def merge_lines(merges: list[Merge], names: dict[int, str]) -> list[str]:
     return [f"{names[a]} {names[b]}" for a, b, _ in merges]
 
 
+def encode_text(docs: DataFrame, merges: list[Merge]) -> DataFrame:
+    """(doc_id, toks) of texts (doc_id, text) by merges in order of rank: as long as no merge makes one of lower rank possible, which no
+    trained list does, all places of a merge before the next one are what taking the lowest rank each time gives."""
+    from corpusloom.operators.sequences import encode
+
+    return apply(encode(docs), merges, "greedy")
+
+
 def decode(seqs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, bytes) of sequences, by a join with pieces (id, piece)."""
-    placed = seqs.select("doc_id", F.posexplode("toks").alias("pos", "id")).join(F.broadcast(found), "id")
+    """(doc_id, bytes) of sequences, by a join with pieces (id, piece), which are broadcast if they are few. Unknown ids have no bytes."""
+    few = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+    placed = seqs.select("doc_id", F.posexplode("toks").alias("pos", "id")).join(few, "id")
     parts = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("parts"))
     return parts.select("doc_id", F.unhex(F.array_join(F.transform("parts", lambda p: p["h"]), "")).alias("bytes"))
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import ratio
 from corpusloom.operators import bpe, code, morphology, sequences, unigram
+from corpusloom.session import make_importable
 from corpusloom.sources import formats
 
 
@@ -24,6 +29,46 @@ def compression(totals: DataFrame) -> DataFrame:
     return totals.select(ratio(F.col("total_tokens"), F.col("total_bytes")).alias("tokens_per_byte"), ratio(F.col("total_bytes"), F.col("total_tokens")).alias("bytes_per_token"))
 
 
+def tokenizer_counts(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, tokens, bytes) as a tokenizer file of another library counts them: tokenizer.json, a rank file, or a SentencePiece model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(t) for t in texts], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64())], names=["doc_id", "tokens", "bytes"])
+
+    make_importable(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, tokens bigint, bytes bigint")
+
+
+@lru_cache(4)
+def counter(path: str) -> Callable[[str], int]:
+    """A text's number of tokens, by one of the libraries; one for each worker process."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda t: len(model.encode(t))
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        encoding = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=formats.ranks(path), special_tokens={})
+        return lambda t: len(encoding.encode_ordinary(t))
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+
+
+def tokenizer_stats(counts: DataFrame) -> DataFrame:
+    """Documents, bytes and tokens of tokenizer_counts(), with bytes a token and tokens a document."""
+    sums = counts.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    return sums.select("*", ratio(F.col("bytes"), F.col("tokens")).alias("bytes_per_token"), ratio(F.col("tokens"), F.col("documents")).alias("tokens_per_document"))
+
+
 def unknown(tokens: DataFrame, known: DataFrame) -> DataFrame:
     """(tok, cnt) of counted tokens that are not in known (tok)."""
     return tokens.join(known.select("tok"), "tok", "left_anti")

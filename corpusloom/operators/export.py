@@ -40,6 +40,11 @@ def relative(counts: DataFrame, threshold: float) -> DataFrame:
     return marked.select("tok", "cnt", (F.row_number().over(Window.orderBy("tok")) - 1).alias("new_id"))  # a vocabulary, not a corpus
 
 
+def reindexed(samples: DataFrame, kept: DataFrame) -> DataFrame:
+    """Samples (token, …) of the tokens that are kept (token, new_id), with their new ids; others go."""
+    return samples.join(kept.select("token", "new_id"), "token")
+
+
 def standing_vector(token: str, size: int, seed: int = 0) -> list[float]:
     """What stands for a token without a vector when tokens are compared: numbers between -1 and 1 that depend on token and seed."""
     rng = random.Random(int.from_bytes(hashlib.sha256(f"{seed}:{token}".encode()).digest()[:8], "big"))

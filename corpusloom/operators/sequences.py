@@ -48,6 +48,11 @@ def batches(seqs: DataFrame, size: int, order: str = "doc_id") -> DataFrame:
     return numbered(seqs, [order], "_number").withColumn("batch", F.floor(F.col("_number") / size).cast("bigint")).drop("_number")
 
 
+def limited(rows: DataFrame, n: int, order: str = "doc_id") -> DataFrame:
+    """The first n rows by order, for looks at large data."""
+    return rows.orderBy(order).limit(n)
+
+
 def shuffled(ids: list, seed: int) -> list:
     """The order in which a seeded shuffle puts identifiers."""
     out = list(ids)

@@ -5,6 +5,7 @@ A vocabulary is tens of thousands of pieces at most and travels to the tasks; a
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -102,15 +103,15 @@ def expectation(data: bytes, by_piece: dict[bytes, int], logp: np.ndarray, longe
     return ahead[n], counts
 
 
-def best_path(data: bytes, by_piece: dict[bytes, int], logp: np.ndarray, longest: int) -> list[int]:
-    """The likeliest segmentation as ids; lower ids among equals; raw bytes where none reaches the end."""
+def best_path(data: bytes, by_piece: dict[bytes, int], logp: np.ndarray, longest: int, otherwise: object = bytes) -> list[int]:
+    """The likeliest segmentation as ids; lower ids among equals; raw bytes, or otherwise, where none reaches the end."""
     score, back = [0.0] + [-math.inf] * len(data), [(-1, -1)] * (len(data) + 1)
     for end, found in enumerate(edges(data, by_piece, longest)):
         for s, i in sorted(found, key=lambda x: x[1]):
             if score[s] + logp[i] > score[end]:
                 score[end], back[end] = score[s] + logp[i], (s, i)
     if score[-1] == -math.inf:
-        return list(data)
+        return list(data) if otherwise is bytes else otherwise
     out, at = [], len(data)
     while at:
         at, i = back[at]
@@ -118,32 +119,130 @@ def best_path(data: bytes, by_piece: dict[bytes, int], logp: np.ndarray, longest
     return out[::-1]
 
 
+class Lattice:
+    """The pieces that many byte strings contain, found by vectors, and where their lattices come apart.
+
+    A place inside no piece is one that every path goes through: what lies between two such places is a segment, which is worked for
+    itself, once for all its occurrences. Segments that have been worked are kept, up to a number of them."""
+
+    KEPT = 200_000
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.by_piece, self.logp, self.longest = vocab.by_piece(), np.array(vocab.logp), vocab.longest
+        self.single = np.full(256, -1, np.int64)
+        codes: dict[int, list[int]] = {}
+        for piece, i in self.by_piece.items():
+            if len(piece) == 1:
+                self.single[piece[0]] = i
+            elif piece:
+                codes.setdefault(len(piece), []).append(self.code(piece))
+        self.codes = {n: np.unique(np.array(c, np.uint64)) for n, c in codes.items()}
+        self.counted: dict[bytes, dict[int, float] | None] = {}
+        self.best: dict[bytes, list[int] | None] = {}
+
+    @staticmethod
+    def code(piece: bytes) -> int:
+        """A polynomial in its bytes, modulo 2**64; up to 8 bytes no two are equal."""
+        out = 0
+        for b in piece:
+            out = (out * 256 + b if len(piece) <= 8 else out * MULTIPLIER + b) & 0xFFFFFFFFFFFFFFFF
+        return out
+
+    def cuts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The ends of all segments of byte strings one after another, which end at ends."""
+        spanned = np.zeros(len(data) + 1, np.int64)
+        left = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(len(data))  # bytes up to the string's end
+        for n, known in self.codes.items():
+            if len(data) < n:
+                continue
+            code = np.zeros(len(data) - n + 1, np.uint64)
+            for k in range(n):
+                code *= np.uint64(256 if n <= 8 else MULTIPLIER)
+                code += data[k : len(data) - n + 1 + k]
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            start = np.flatnonzero((known[at] == code) & (left[: len(code)] >= n))
+            np.add.at(spanned, start + 1, 1)
+            np.add.at(spanned, start + n, -1)
+        whole = np.cumsum(spanned) == 0
+        whole[ends] = True
+        whole[0] = False
+        return np.flatnonzero(whole)
+
+    def counts(self, segment: bytes) -> dict[int, float] | None:
+        """Expected counts in a segment; None where no path reaches its end."""
+        if segment not in self.counted:
+            if len(self.counted) >= self.KEPT:
+                self.counted.clear()
+            z, found = expectation(segment, self.by_piece, self.logp, self.longest)
+            self.counted[segment] = found if z >= UNREACHABLE else None
+        return self.counted[segment]
+
+    def path(self, segment: bytes) -> list[int] | None:
+        if segment not in self.best:
+            if len(self.best) >= self.KEPT:
+                self.best.clear()
+            self.best[segment] = best_path(segment, self.by_piece, self.logp, self.longest, None)
+        return self.best[segment]
+
+    def segments(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The segments of each text."""
+        data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        cuts = self.cuts(data, ends[np.diff(ends, prepend=0) > 0]) if len(data) else np.empty(0, np.int64)
+        raw, out, at = b"".join(texts), [], 0
+        bounds = np.searchsorted(cuts, ends, side="right").tolist()
+        places = cuts.tolist()
+        k = 0
+        for hi in bounds:
+            found = []
+            for end in places[k:hi]:
+                found.append(raw[at:end])
+                at = end
+            k = hi
+            out.append(found)
+        return out
+
+
+MULTIPLIER = 0x9E3779B97F4A7C15
+
+
 def expected(seqs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(piece_id, exp_count) over all sequences. A task sums its own, and each distinct sequence is worked once in a task's batch."""
-    by_piece, logp, longest = vocab.by_piece(), np.array(vocab.logp), vocab.longest
+    """(piece_id, exp_count) over all sequences. A task sums its own; a segment that occurs often is worked once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, float] = {}
+        lattice, total = Lattice(vocab), np.zeros(len(vocab.pieces))
+        raw = np.zeros(256)  # where a sequence has no path, its bytes count as the ids that they are
         for b in batches:
-            times: dict[bytes, int] = {}
-            for t in b.column(0).to_pylist():
-                data = as_bytes(t)
-                times[data] = times.get(data, 0) + 1
-            for data, n in times.items():
-                for i, c in expectation(data, by_piece, logp, longest)[1].items():
-                    total[i] = total.get(i, 0.0) + n * c
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.float64())], names=["piece_id", "exp_count"])
+            texts = [as_bytes(t) for t in b.column(0).to_pylist()]
+            times: Counter[bytes] = Counter()
+            for text, found in zip(texts, lattice.segments(texts), strict=True):
+                if any(lattice.counts(x) is None for x in set(found)):
+                    raw += np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+                else:
+                    times.update(found)
+            for segment, n in times.items():
+                for i, c in lattice.counts(segment).items():
+                    total[i] += n * c
+        size = max(256, len(total))
+        total = np.pad(total, (0, size - len(total))) + np.pad(raw, (0, size - 256))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece_id", "exp_count"])
 
     make_importable(seqs.sparkSession)
     return seqs.select("toks").mapInArrow(run, "piece_id bigint, exp_count double").groupBy("piece_id").agg(F.sum("exp_count").alias("exp_count"))
 
 
 def segment(seqs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    by_piece, logp, longest = vocab.by_piece(), np.array(vocab.logp), vocab.longest
+    """(doc_id, toks) of the likeliest pieces; raw bytes where no path reaches the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(vocab)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([best_path(as_bytes(t), by_piece, logp, longest) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "toks"])
+            texts, done = [as_bytes(t) for t in b.column(1).to_pylist()], []
+            for text, found in zip(texts, lattice.segments(texts), strict=True):
+                paths = [lattice.path(x) for x in found]
+                done.append(list(text) if None in paths else [i for p in paths for i in p])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.list_(pa.int32()))], names=["doc_id", "toks"])
 
     make_importable(seqs.sparkSession)
     return seqs.select("doc_id", "toks").mapInArrow(run, "doc_id bigint, toks array<int>")

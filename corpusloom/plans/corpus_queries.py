@@ -460,3 +460,24 @@ def length_types(spark, sf):
     s = seqs(spark, sf)
     over = K.overflows(F.col("toks"), 1024)
     return s.select("doc_id", F.when(over, "long").otherwise("short").alias("kind"), over.alias("overflow"))
+
+
+@register("first_documents", "SELECT doc_id, length(coalesce(text, '')) AS chars FROM documents ORDER BY doc_id LIMIT 50")
+def first_documents(spark, sf):
+    return sequences.limited(docs(spark, sf), 50).select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("chars"))
+
+
+@register("reindex_samples", f"WITH {SOURCES}, x AS (SELECT token, id, coalesce(count, 0) AS count FROM v LEFT JOIN s USING (token)), k AS (SELECT token, (row_number() OVER (ORDER BY id) - 1)::INTEGER AS new_id FROM x WHERE count >= 15) SELECT new_id, count(*) AS samples, sum(toxic)::BIGINT AS positive FROM labels JOIN documents USING (doc_id) JOIN k ON source = token GROUP BY new_id")
+def reindex_samples(spark, sf):
+    """Labelled samples by their source, those of pruned sources left out."""
+    kept = export.pruned(export.with_stats(*source_vocab(spark, sf)), 15, [])[0]
+    samples = spark.read.parquet(f"{sf}/labels.parquet").join(docs(spark, sf).select("doc_id", F.col("source").alias("token")), "doc_id")
+    return export.reindexed(samples, kept).groupBy("new_id").agg(F.count(F.lit(1)).alias("samples"), F.sum("toxic").cast("bigint").alias("positive"))
+
+
+@register("tokenizer_stats")
+def tokenizer_stats(spark, sf):
+    """How a public byte-level vocabulary counts the corpus; tests hold it against the library."""
+    import public_tokenizers
+
+    return evaluate.tokenizer_stats(evaluate.tokenizer_counts(docs(spark, sf), public_tokenizers.path("byte_bpe_50k.tiktoken")))

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from corpusloom import cli
-from corpusloom.operators import export
+from corpusloom.operators import benchmark, bpe, evaluate, export
 from corpusloom.sources import formats, sinks, store
 
 
@@ -112,3 +112,45 @@ def test_formats_and_store(spark, tmp_path):
     with pytest.raises(ValueError, match="line 2"):
         formats.pair_of_files(str(tmp_path))
     assert formats.warm_start(str(tmp_path)) == [(97, 98)]
+
+
+def test_benchmark(spark, data, tmp_path, capsys):
+    run(spark, "benchmark", "--data", data, "--bpe-merges", 2, "--unigram-vocab", 260, "--output-dir", tmp_path, "--partitions", 1, 2)
+    out = capsys.readouterr().out
+    assert "bpe-2" in out and "hybrid" in out and (tmp_path / "summary.md").read_text() in out
+    points = benchmark.history(spark, str(tmp_path))
+    assert sorted(r["name"] for r in points.collect()) == ["bpe-1", "bpe-2", "hybrid", "unigram"]
+    report = json.loads(next(tmp_path.glob("benchmark-*.json")).read_text())
+    assert [s["reference"] for s in report["scaling"]] == ["bpe-1"] and report["corpus"]["sequences"] == 40
+    slow = report | {"timestamp": "9999", "runs": [r | {"tokens_per_second": r["tokens_per_second"] / (2 if r["name"] == "unigram" else 1)} for r in report["runs"]]}
+    benchmark.save(str(tmp_path), slow)
+    assert benchmark.regressions(spark, str(tmp_path)) == ["unigram"]
+    with pytest.raises(ValueError, match="runs"):
+        benchmark.save(str(tmp_path), report | {"runs": []})
+    with pytest.raises(ValueError, match="none of"):
+        benchmark.Spec("x", "other")
+
+
+def test_other_tokenizers(spark):
+    import public_tokenizers
+    import tiktoken
+
+    texts = ["It's  two words", "", None, "çok güzel 123"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = formats.ranks(path)
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    counts = {r["doc_id"]: (r["tokens"], r["bytes"]) for r in evaluate.tokenizer_counts(docs, path).collect()}
+    assert counts == {i: (len(library.encode_ordinary(t or "")), len((t or "").encode())) for i, t in enumerate(texts)}
+    total = evaluate.tokenizer_stats(evaluate.tokenizer_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))).first()
+    assert total["documents"] == 4 and total["tokens"] > 0 and total["bytes"] == sum(b for _, b in counts.values())
+    few = {p: r for p, r in ranks.items() if r < 400}  # a trained list's beginning, as merges of ids
+    rules = [(a, b, r) for r, a, b in formats.splits(few)]
+    small = tiktoken.Encoding("y", pat_str=r"[\s\S]+", mergeable_ranks=few, special_tokens={})
+    single = {p[0]: r for p, r in few.items() if len(p) == 1}
+    seqs = spark.createDataFrame([(i, [single[b] for b in (t or "").encode()]) for i, t in enumerate(texts)], "doc_id bigint, toks array<int>")
+    encoded = {r["doc_id"]: r["toks"] for r in bpe.apply(seqs, rules).collect()}
+    assert encoded == {i: small.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    pieces = spark.createDataFrame([(r, bytearray(p)) for p, r in few.items()], "id int, piece binary")
+    back = {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode(bpe.apply(seqs, rules), pieces).collect()}
+    assert back == {i: t.encode() for i, t in enumerate(texts) if t}

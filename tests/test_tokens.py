@@ -123,6 +123,32 @@ def test_unigram():
     assert unigram.best_path(b"xyz", vocab, logp, 3) == [120, 121, 122]
 
 
+def test_lattice(spark):
+    """Segments worked by themselves give what whole strings give, with and without single bytes, long pieces included."""
+    rng = np.random.default_rng(5)
+    singles = [bytes([b]) for b in range(256)]
+    for pieces in (singles + [b"ab", b"ba", b"aba", b"bb"], singles + [b"abababababa", b"bbbb", b"a b"], [b"a", b"b", b"ab", b" "], singles):
+        vocab = unigram.Vocabulary(pieces, np.log(rng.dirichlet(np.ones(len(pieces)))).tolist(), 0)
+        by_piece, logp = vocab.by_piece(), np.array(vocab.logp)
+        texts = [b"", b"a", b"abababababab", b"xyz"] + [bytes(rng.choice(list(b"ab c"), int(rng.integers(0, 40))).astype(np.uint8)) for _ in range(60)]
+        lattice = unigram.Lattice(vocab)
+        assert [b"".join(x) for x in lattice.segments(texts)] == texts
+        seqs = spark.createDataFrame([(i, list(t)) for i, t in enumerate(texts)], "doc_id bigint, toks array<int>")
+        want = np.zeros(max(256, len(pieces)))
+        for t in texts:
+            for i, c in unigram.expectation(t, by_piece, logp, vocab.longest)[1].items():
+                want[i] += c
+        got = np.zeros(len(want))
+        for r in unigram.expected(seqs, vocab).collect():
+            got[r["piece_id"]] = r["exp_count"]
+        assert np.allclose(got, want)
+        paths = {r["doc_id"]: r["toks"] for r in unigram.segment(seqs, vocab).collect()}
+        weight = lambda ids: sum(logp[i] for i in ids)
+        for i, t in enumerate(texts):
+            best = unigram.best_path(t, by_piece, logp, vocab.longest)
+            assert paths[i] == best or np.isclose(weight(paths[i]), weight(best)) and b"".join(pieces[k] for k in paths[i]) == t
+
+
 def test_unigram_fit(spark):
     s = sequences.encode(spark.createDataFrame([(i, t) for i, t in enumerate(["banana bandana", "bandana banana", "ananas banana"])], "doc_id bigint, text string"))
     v = unigram.fit(s, 2, 262, 4)
