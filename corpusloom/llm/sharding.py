@@ -1,7 +1,7 @@
 """K-d tree partitioning: rows are split at distributed weighted medians along the widest metadata dimension, down to shards.
 
 A node that stands for several shards is split where its rows' bytes divide in the ratio of the two sides' shards. A dimension gives each
-row a key: the value's code in the upper bits, a hash of doc_id below, so that even a value that a third of the rows have can be split.
+row a key: the value's place in the column's range in the upper bits, a hash of doc_id below, so that even a value that a third of the rows have can be split.
 The place of a split is found digit by digit: one aggregation of a few thousand sums a node and digit, for all nodes of a level at once,
 until the bytes in doubt are a thousandth of a shard. The driver sees these sums and the tree, whose sizes do not depend on the rows.
 
@@ -45,18 +45,33 @@ class Node:
         return F.when(F.col(self.key) < self.cut, self.left.expression()).otherwise(self.right.expression())
 
 
+#: Bytes of a text value that order it, after what all values of the column begin with.
+SHOWN = 7
+
+
+def in_order(docs: DataFrame, dimensions: list[str]) -> dict[str, Column]:
+    """Each dimension as a number that keeps the order of its values: numbers themselves, and of others the bytes after the beginning that
+    the least and the greatest value, and so all values, have in common."""
+    numeric = {d for d in dimensions if isinstance(docs.schema[d].dataType, (*INTEGRAL, T.DoubleType, T.FloatType))}
+    raw = {d: F.encode(F.col(d).cast("string"), "UTF-8") for d in dimensions if d not in numeric}
+    ends = docs.agg(*[f(F.substring(c, 1, 1024)).alias(f"{n}_{d}") for d, c in raw.items() for n, f in (("lo", F.min), ("hi", F.max))]).first() if raw else None
+    out = {d: F.col(d).cast("double") for d in numeric}
+    for d, c in raw.items():
+        lo, hi = bytes(ends[f"lo_{d}"] or b""), bytes(ends[f"hi_{d}"] or b"")
+        common = next((i for i, (x, y) in enumerate(zip(lo, hi, strict=False)) if x != y), min(len(lo), len(hi)))
+        out[d] = F.conv(F.rpad(F.hex(F.substring(c, common + 1, SHOWN)), 2 * SHOWN, "0"), 16, 10).cast("double")
+    return out
+
+
 def keys_of(docs: DataFrame, dimensions: list[str]) -> dict[str, Column]:
-    """A 62-bit key for each dimension. Numbers keep their order, scaled to the table's range; other values are ordered by hash."""
-    numeric = [d for d in dimensions if isinstance(docs.schema[d].dataType, (*INTEGRAL, T.DoubleType, T.FloatType))]
-    span = docs.agg(*[f(F.col(d).cast("double")).alias(f"{n}_{d}") for d in numeric for n, f in (("lo", F.min), ("hi", F.max))]).first() if numeric else None
+    """A 62-bit key for each dimension: its order, scaled to the table's range, so that widths of unlike dimensions can be compared."""
+    order = in_order(docs, dimensions)
+    span = docs.agg(*[f(c).alias(f"{n}_{d}") for d, c in order.items() for n, f in (("lo", F.min), ("hi", F.max))]).first()
     tie = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 64 - TIE)
     out = {}
     for d in dimensions:
-        if d in numeric:
-            lo, hi = span[f"lo_{d}"] or 0.0, span[f"hi_{d}"] or 0.0
-            code = (F.lit(1) + F.floor((F.col(d).cast("double") - lo) / ((hi - lo) or 1.0) * ((1 << CODE) - 2))).cast("long")
-        else:
-            code = F.shiftrightunsigned(F.xxhash64(F.col(d)), 64 - CODE)
+        lo, hi = span[f"lo_{d}"] or 0.0, span[f"hi_{d}"] or 0.0
+        code = (F.lit(1) + F.floor((order[d] - lo) / ((hi - lo) or 1.0) * ((1 << CODE) - 2))).cast("long")
         out[d] = F.shiftleft(F.coalesce(F.when(F.col(d).isNotNull(), code), F.lit(0)).cast("long"), TIE).bitwiseOR(tie)
     return out
 

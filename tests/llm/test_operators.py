@@ -197,6 +197,30 @@ def test_sharding(docs, none, rows):
     assert sharding.shard(none, 5).count() == 0
 
 
+def test_sharding_dimensions(spark):
+    """Nulls, one hot value, values that begin alike, repeated rows and ties of size; text keys keep their order."""
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randint(0, 50), None if i % 7 == 0 else "hot" if i % 3 else f"source-{rng.randint(0, 400):03d}", None if i % 5 == 0 else rng.choice(["en", "eo", "es"]), 5) for i in range(900)]
+    rows += [(5, "same", "hot", "en", 5)] * 200 + [(None, None, None, None, None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars bigint").repartition(3)
+    found = sharding.shard(docs, 24).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(found) == len(rows) and sorted(sizes) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sum(sizes.values()) == sum(len((t or "").encode()) + 8 for _, t, *_ in rows)
+    several = docs.where("doc_id is not null and not (doc_id = 5 and text = 'same')")  # rows that repeat one doc_id can't be told apart
+    even = Counter()
+    for r in sharding.shard(several, 24).collect():
+        even[r["shard"]] += r["size"]
+    assert max(even.values()) - min(even.values()) <= 3 * 58
+    names = [None, "source-", "source-1", "source-12", "source-2", "source-é", "source-z"]
+    frame = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id bigint, source string")
+    keys = [r["k"] >> sharding.TIE for r in frame.select("doc_id", sharding.keys_of(frame, ["source"])["source"].alias("k")).orderBy("doc_id").collect()]
+    assert keys[0] == 0 and keys[1] == 1 and sorted(keys[1:5]) == keys[1:5] and keys[6] < keys[5] == (1 << sharding.CODE) - 1
+
+
 def without_earlier(rows):
     """Of distinct (doc_id, text), in order: bytes, removed ones, spans and what stays."""
     seen, want = set(), {}
@@ -572,3 +596,97 @@ def test_stages_defined_cases(spark, tmp_path):
     for name in ("toxicity", "exact_dedup", "ngram_jaccard_join", "substring_dedup", "packing"):
         out = stage(name)(spark, docs.limit(0), str(tmp_path))
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, docs, rows, tmp_path_factory):
+    """The tables of the ten queries, in a folder; with a null doc_id, and labels of both kinds."""
+    folder = tmp_path_factory.mktemp("tables")
+    rng = random.Random(21)
+    more = [(1000 + i, " ".join(rng.choice(["calm", "water", "stone", "wind"]) for _ in range(30)) + (" vile wretch vile scum" if i % 4 == 0 else ""), "en", "s", 0, "k", 1) for i in range(400)]
+    both = docs.unionByName(docs.sparkSession.createDataFrame([*more, (None, "no name", None, None, None, None, None)], docs.schema))
+    both.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(r[0], i % 4 == 0 and 1 or 0) for i, r in enumerate(more)], "doc_id bigint, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder), {**dict(rows), **{r[0]: r[1] for r in more}, None: "no name"}
+
+
+def by_doc(df):
+    out = {r["doc_id"]: r for r in df.collect()}
+    assert len(out) == df.count()
+    return out
+
+
+def test_queries_of_pieces_and_shards(spark, tables):
+    sf, texts_of = tables
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, places = defaultdict(list), defaultdict(list)
+    for r in queries.op1_packing(spark, sf).collect():
+        pieces[r["doc_id"]].append(r)
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert pieces.keys() == texts_of.keys()
+    for i, t in texts_of.items():
+        ids = encoder.whole(t or "") + b"\1\0\0\0"
+        assert {r["doc_tokens"] for r in pieces[i]} == {len(ids) // 4} and sum(r["length"] for r in pieces[i]) == len(ids) // 4
+        for r in pieces[i]:
+            assert r["ids_crc32"] == zlib.crc32(ids[4 * r["start"] : 4 * (r["start"] + r["length"])])
+    for s in places.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(s), sorted(s)[1:], strict=False)) and min(s)[0] == 0
+    sizes, slots = Counter(), defaultdict(list)
+    for i, r in by_doc(queries.op3_kd_sharding(spark, sf)).items():
+        raw = (texts_of[i] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert set(sizes) <= set(range(24)) and len(sizes) >= 23  # one text is larger than a shard
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_queries_of_duplicates(spark, tables):
+    sf, texts_of = tables
+    order = sorted(texts_of.items(), key=lambda r: (r[0] is not None, r[0] or 0))
+    sets = {i: shingles(t) for i, t in order if i is not None}
+    linked, got = components(sets), by_doc(queries.op2_ngram_join(spark, sf))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items() if i is not None} == {i: (len(s), linked[i]) for i, s in sets.items()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got, want = by_doc(queries.op4_suffix_dedup(spark, sf)), without_earlier(order)
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == {i: (n, gone, spans, sha(kept)) for (i, _), (n, gone, spans, kept) in want.items()}
+    got, want = by_doc(queries.op8_substring_dedup(spark, sf)), without_repeated(order)
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == {i: (n, gone, sha(kept.encode())) for (i, _), (n, gone, kept) in want.items()}
+    groups = defaultdict(list)
+    for i, t in order:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is not None, i or 0, i))
+    got = by_doc(queries.op9_exact_dedup(spark, sf))
+    for norm, members in groups.items():
+        for m in members:
+            assert tuple(got[m[3]][c] for c in ("keep_id", "group_size", "kept", "text_sha256")) == (min(members)[3], len(members), m == min(members), sha(norm.encode()))
+
+
+def test_queries_of_texts(spark, tables):
+    sf, texts_of = tables
+    library = bpe_codec.codec_of(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encoding
+    codes, media, scans = by_doc(queries.op10_bpe_codec(spark, sf)), by_doc(queries.op7_tiff(spark, sf)), by_doc(queries.op6_license_scan(spark, sf))
+    for i, t in texts_of.items():
+        raw, ids = (t or "").encode(), library.encode_ordinary(t or "")
+        assert (codes[i]["n_tokens"], codes[i]["ids_sha256"], codes[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest())
+        payload = raw + bytes(-len(raw) % 64 or (not raw) * 64)
+        stored = tiff.store(payload)
+        assert tuple(media[i][c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert "detections" not in scans[i] and scans[i]["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+
+
+def test_query_of_toxicity(spark, tables, tmp_path):
+    """Held-out labels never matter; scores separate the two kinds, and the decision is at 0.3."""
+    sf, texts_of = tables
+    got = by_doc(queries.op5_toxicity(spark, sf))
+    assert got.keys() == texts_of.keys() and got[None]["held_out"] is False
+    for i, r in got.items():
+        assert i is None or r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    held = [i for i in texts_of if i is not None and i >= 1000 and got[i]["held_out"]]
+    assert len(held) > 50 and all(got[i]["predicted"] == ((i - 1000) % 4 == 0) for i in held)
+    assert len({got[i]["score"] for i, t in texts_of.items() if not (t or "").strip()}) == 1
+    labels = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{sf}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    again = by_doc(queries.op5_toxicity(spark, str(tmp_path)))
+    assert {i: r["score"] for i, r in again.items()} == {i: r["score"] for i, r in got.items()}
