@@ -22,10 +22,12 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import few, id_and_text, saved, scratch
+from .base import few, id_and_text, partitions, saved, scratch
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+#: Rows for each partition of the state, until there are as many as the session's shuffle partitions.
+STATE_ROWS = 20_000
 DIGEST = 32
 #: A digest with one in so many rows counts as hot: there are as many of those at most.
 HOT_SHARE = 1000
@@ -88,7 +90,8 @@ def absorb(spark: SparkSession, source: str, state: str, out: str, digest_bytes:
         fresh, earlier = everything.where(F.col("call").isin(calls)), everything.where(~F.col("call").isin(calls))
         clashes(fresh, earlier, hits, digest).write.mode("overwrite").parquet(f"{out}/clashes/n={number}")
 
-    with settings(spark, SETTINGS):
+    wanted = min(partitions(spark), arrivals(spark, source).count() // STATE_ROWS + 1)  # fixed by the first call with a state
+    with settings(spark, SETTINGS | {"spark.sql.shuffle.partitions": str(wanted)}):
         query = entries.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     changes = spark.read.schema(f"digest binary, size long, best {BEST}, newest long, batch long").option("recursiveFileLookup", "true").parquet(f"{out}/entries")
