@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.tokens import cosine
 from corpusloom.session import make_importable
 from corpusloom.sources.tables import saved
 
@@ -114,15 +113,6 @@ def deduplicated(vocab: DataFrame, threshold: float, keep: list[str] | None = No
     return one.mapInArrow(run("heads"), head), one.mapInArrow(run("log"), log)
 
 
-def pairs(vectors: DataFrame, threshold: float, ident: str = "vec_id", vector: str = "embedding", group: str | None = None) -> DataFrame:
-    """(a, b, similarity) of rows at least so similar, a < b, within a group if one is named.
-
-    A vocabulary's table: the pairs of a group grow with its square, and a group is a block of the comparison."""
-    x = vectors.select(F.col(ident).alias("a"), F.col(vector).alias("x"), *([F.col(group).alias("g")] if group else [F.lit(0).alias("g")]))
-    y = x.select(F.col("a").alias("b"), F.col("x").alias("y"), "g")
-    return x.join(y, (x["g"] == y["g"]) & (x["a"] < y["b"])).select("a", "b", cosine(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
 def similar(xi: np.ndarray, x: np.ndarray, yi: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Ids a < b and similarities of two blocks' rows; same: the two are one block. A product of single precision, with more than its
     error as a margin, finds the candidates, which are computed again in double precision."""
@@ -148,8 +138,42 @@ def similar(xi: np.ndarray, x: np.ndarray, yi: np.ndarray, y: np.ndarray, thresh
             yield np.minimum(a, b), np.maximum(a, b), cos[hit]
 
 
+def links(vectors: DataFrame, threshold: float, ident: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """(vec_id, links, best) of rows with others at least so similar: how many, and the highest similarity. No pair leaves its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in met(batches, threshold):
+            ids, at = np.unique(np.concatenate([found[0], found[1]]), return_inverse=True)
+            best = np.full(len(ids), -np.inf)
+            np.maximum.at(best, at, np.concatenate([found[2], found[2]]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(at)), pa.array(best)], names=["id", "n", "best"])
+
+    found = met_blocks(vectors, ident, vector, block).mapInArrow(run, "id bigint, n bigint, best double")
+    return found.groupBy(F.col("id").alias(ident)).agg(F.sum("n").alias("links"), F.max("best").alias("best"))
+
+
 def all_pairs(vectors: DataFrame, threshold: float, ident: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
-    """(a, b, similarity) of all rows at least so similar, a < b, whatever their groups.
+    """(a, b, similarity) of all rows at least so similar, a < b, whatever their groups. For tables whose similar rows are few: a group of
+    n near vectors has n * (n - 1) / 2 rows here, and n in links()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in met(batches, threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "similarity"])
+
+    return met_blocks(vectors, ident, vector, block).mapInArrow(run, "a bigint, b bigint, similarity double")
+
+
+def met(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What similar() finds in pairs of blocks, as met_blocks() has them."""
+    for b in batches:
+        for k in range(b.num_rows):
+            n, d, ids, m, n2, d2, ids2, m2, kind = (c[k].as_py() for c in b.columns)
+            x, y = np.frombuffer(m, kind).reshape(-1, d), np.frombuffer(m2, kind).reshape(-1, d2)
+            yield from similar(np.frombuffer(ids, "<i8"), x, np.frombuffer(ids2, "<i8"), y, threshold, n == n2)
+
+
+def met_blocks(vectors: DataFrame, ident: str, vector: str, block: int) -> DataFrame:
+    """All pairs of blocks of vectors.
 
     Vectors are written as blocks of one length, a row for each, and every block meets every other: the comparisons grow with the
     square of the rows, the rows of the join with that of the blocks. Null ids, null vectors and vectors with null elements have no
@@ -181,17 +205,9 @@ def all_pairs(vectors: DataFrame, threshold: float, ident: str = "vec_id", vecto
         for d in list(waiting):
             yield out(d)
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                n, d, ids, m, n2, d2, ids2, m2 = (c[k].as_py() for c in b.columns)
-                x, y = np.frombuffer(m, kind).reshape(-1, d), np.frombuffer(m2, kind).reshape(-1, d2)
-                for found in similar(np.frombuffer(ids, "<i8"), x, np.frombuffer(ids2, "<i8"), y, threshold, n == n2):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "similarity"])
-
     blocks = saved(rows.repartition(max(1, -(-rows.count() // block))).mapInArrow(packed, "block bigint, d int, ids binary, m binary"), "vectors")
     other = blocks.select(*(F.col(c).alias(f"{c}2") for c in blocks.columns))
-    return blocks.join(other, F.col("block") <= F.col("block2")).mapInArrow(compared, "a bigint, b bigint, similarity double")
+    return blocks.join(other, F.col("block") <= F.col("block2")).withColumn("kind", F.lit(kind))
 
 
 def embeddings(vocab: list[tuple[str, int, float, list[float] | None]], size: int, seed: int) -> list[list[float]]:

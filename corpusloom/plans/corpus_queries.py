@@ -404,18 +404,11 @@ def page_tag_patterns(spark, sf):
     return code.patterns(tags, 2, 2).select(F.array_join("pattern", " ").alias("pattern"), "cnt")
 
 
-@register("dedupe_pairs_cosine", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
-SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 5) AS similarity FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.3""")
+@register("dedupe_pairs_cosine", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.v, y.v) AS s FROM e x JOIN e y ON x.vec_id <> y.vec_id)
+SELECT a AS vec_id, count(*) AS links, round(max(s), 5) AS best FROM p WHERE s >= 0.5 GROUP BY a""")
 def dedupe_pairs_cosine(spark, sf):
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return export.pairs(vectors, 0.3, group="label").select("a", "b", F.round("similarity", 5).alias("similarity"))
-
-
-@register("dedupe_pairs_cosine_all", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
-SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 5) AS similarity FROM e x JOIN e y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.5""")
-def dedupe_pairs_cosine_all(spark, sf):
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return export.all_pairs(vectors, 0.5).select("a", "b", F.round("similarity", 5).alias("similarity"))
+    """Of all vectors, how many others are at least so similar to each, and the highest similarity."""
+    return export.links(spark.read.parquet(f"{sf}/embeddings.parquet"), 0.5).select("vec_id", "links", F.round("best", 5).alias("best"))
 
 
 SOURCES = "v AS (SELECT source AS token, row_number() OVER (ORDER BY source) - 1 AS id FROM (SELECT DISTINCT source FROM documents)), s AS (SELECT source AS token, count(*)::DOUBLE AS count FROM documents WHERE lang = 'en' GROUP BY source)"
