@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import tokens as K
 from corpusloom.operators import bpe, code, evaluate, export, histograms, hybrid, morphology, sequences, unigram
 from corpusloom.plans.catalogue import register
+from corpusloom.sources.tables import spread
 from corpusloom.streaming import shards
 
 HEX = "h AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents)"
@@ -16,7 +17,7 @@ PAIRS = f"{TOKENS}, p AS MATERIALIZED (SELECT tok AS a, lead(tok) OVER (PARTITIO
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
 def seqs(spark: SparkSession, sf: str) -> DataFrame:

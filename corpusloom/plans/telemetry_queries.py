@@ -20,9 +20,9 @@ def ewma_by_user(spark, sf):
     return T.ewma(events(spark, sf), "user_id", ["ts", "event_id"], "value", 0.2).select("user_id", F.round("ewma", 6).alias("ewma"))
 
 
-@register("trailing_stats", "SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(var_pop(value) OVER w, 4) AS variance, count(value) OVER w AS samples FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+@register("trailing_stats", "SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(var_pop(value) OVER w, 6) AS variance, count(value) OVER w AS samples FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def trailing_stats(spark, sf):
-    return T.trailing(events(spark, sf), "user_id", ["ts", "event_id"], "value", 5).select("event_id", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), "samples")
+    return T.trailing(events(spark, sf), "user_id", ["ts", "event_id"], "value", 5).select("event_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"), "samples")
 
 
 RATES = "r AS (SELECT event_type, sum(value) AS rate FROM events GROUP BY event_type)"

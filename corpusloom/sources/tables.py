@@ -41,3 +41,16 @@ def numbered(df: DataFrame, order: list[Column | str], number: str = "number") -
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
     return placed.join(F.broadcast(before), "_part").withColumn(number, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+#: Bytes for each core below which a table of few files is dealt out anew.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, and too small for its splits to keep them all busy, dealt out to them; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
