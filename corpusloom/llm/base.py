@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import make_importable
-from corpusloom.sources.tables import saved, shared_dir  # noqa: F401  (the operators take saved() from here)
+from corpusloom.sources.tables import saved, shared_dir, spread  # noqa: F401  (the operators take saved() from here)
 
 #: Text handled at once inside a Python worker, in bytes.
 SLICE_CHARS = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: Rows of an Arrow batch: a setting, its default, and what the operators take instead, since texts may be long.
