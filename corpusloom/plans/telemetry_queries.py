@@ -154,3 +154,11 @@ def lease_states(spark, sf):
     names = F.element_at(F.array(*[F.lit(x) for x in ("complete", "fail", "heartbeat", "timeout", "grant", "grant", "grant")]), (F.col("event_id") % 7 + 1).cast("int"))
     rows = e.where("user_id % 5 <> 0 OR event_id % 7 <> 0").select(F.col("user_id").alias("chunk_id"), F.col("event_id").alias("at"), F.col("event_type").alias("rank"), names.alias("event"))
     return leases.final_states(spark, rows)
+
+
+@register("chunk_slices", """WITH t AS (SELECT source AS key, count(*) AS total FROM documents WHERE source IS NOT NULL GROUP BY source), c AS (SELECT key, total, unnest(generate_series(0, (total - 1) // 16)) AS chunk_id FROM t)
+SELECT key, chunk_id, chunk_id * 16 AS start, least(chunk_id * 16 + 16, total) AS "end" FROM c""")
+def chunk_slices(spark, sf):
+    """The documents of each source in chunks of 16 places, half open."""
+    totals = spark.read.parquet(f"{sf}/documents.parquet").where("source is not null").groupBy(F.col("source").alias("key")).agg(F.count(F.lit(1)).alias("total"))
+    return leases.chunk_rows(totals, 16)

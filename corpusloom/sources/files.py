@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.session import make_importable
+from corpusloom.sources.store import exists
 from corpusloom.sources.tables import numbered
 
 SHARDS = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
@@ -121,3 +122,16 @@ def code(spark: SparkSession, paths: list[str], languages: set[str] | None = Non
 def not_consumed(shard: DataFrame, consumed: DataFrame) -> DataFrame:
     """Shards (path) without those of consumed (path, offset)."""
     return shard.join(consumed.select("path").distinct(), "path", "left_anti")
+
+
+def remember(shard: DataFrame, folder: str) -> None:
+    """Adds shards (path, length) to a folder's record of what has been consumed, each with the offset behind its last byte."""
+    shard.select("path", F.col("length").cast("bigint").alias("offset")).write.mode("append").parquet(folder)
+
+
+def remembered(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, offset), the furthest of each path, of a folder's record; empty where there is none yet."""
+    kind = "path string, offset bigint"
+    if not exists(folder):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(folder).groupBy("path").agg(F.max("offset").alias("offset"))

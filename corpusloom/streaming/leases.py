@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -73,3 +74,16 @@ def final_states(spark: SparkSession, events: DataFrame) -> DataFrame:
 def chunks(total: int, width: int) -> list[tuple[int, int, int]]:
     """(chunk_id, start, end), half open."""
     return [(i, a, min(total, a + width)) for i, a in enumerate(range(0, total, width))]
+
+
+def chunk_rows(totals: DataFrame, width: int) -> DataFrame:
+    """chunks() of many totals (key, total) at once: (key, chunk_id, start, end)."""
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("total") / width) - 1, F.lit(0)).cast("bigint"))
+    cut = totals.where("total > 0").select("key", "total", F.explode(numbers).alias("chunk_id"))
+    return cut.select("key", "chunk_id", (F.col("chunk_id") * width).alias("start"), F.least(F.col("chunk_id") * width + width, F.col("total")).alias("end"))
+
+
+def job_id(paths: list[str]) -> str:
+    """A name for the work over some paths, in their order."""
+    ended = b"".join(p.encode("utf-8", "surrogatepass") + b"\0" for p in paths)
+    return f"lease:{hashlib.blake2s(ended, digest_size=8).hexdigest()}"

@@ -159,6 +159,28 @@ def test_streams(spark):
     assert sorted(map(tuple, found)) == [(1, "r1", "leased", 2), (2, "r1", "done", 1), (3, "r2", "free", 0)]
 
 
+def test_shards_and_chunks(spark, tmp_path):
+    """A stream of shards resumes after what it has had; records of consumed shards; chunks and names of jobs."""
+    import zstandard
+
+    source, seen = tmp_path / "in", []
+    source.mkdir()
+    record = f"{tmp_path}/record"
+    for k in range(2):
+        (source / f"{k}.zst").write_bytes(zstandard.compress(f"shard {k}".encode()))
+        (source / f"{k}.bin").write_bytes(f"plain {k}".encode())
+        fresh = files.not_consumed(files.shards(spark, [str(source)]), files.remembered(spark, record))
+        assert sorted(r["path"].rsplit("/")[-1] for r in fresh.collect()) == [f"{k}.bin", f"{k}.zst"]
+        files.remember(fresh, record)
+        batch = lambda df, _: seen.extend(bytes(r["content"]).decode() for r in df.collect())
+        shards.shard_stream(spark, str(source), 1).writeStream.foreachBatch(batch).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        assert sorted(seen) == sorted(f"{n} {i}" for n in ("plain", "shard") for i in range(k + 1))
+    assert {r["offset"] for r in files.remembered(spark, record).collect()} >= {7}
+    rows = leases.chunk_rows(spark.createDataFrame([("a", 10), ("b", 0), ("c", 4)], "key string, total bigint"), 4).collect()
+    assert sorted((r["key"], r["chunk_id"], r["start"], r["end"]) for r in rows) == [(n, *c) for n, t in (("a", 10), ("c", 4)) for c in leases.chunks(t, 4)]
+    assert leases.job_id(["a", "b"]) != leases.job_id(["ab"]) and len(leases.job_id([])) == 22
+
+
 def test_control(spark):
     """Depths, scales and states at the edges of their rules."""
     rows = [(None, 4, 0.9, 8), (0.8, 4, 0.95, 8), (0.0, 3, 0.85, 2), (0.4, 1, 0.7, 8)]
