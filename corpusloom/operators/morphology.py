@@ -5,19 +5,24 @@ Script runs are regular expressions over built-in functions; Turkish suffixes ar
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import make_importable
 
 SEGMENTS = "array<struct<surface:string,tags:array<string>,role:string>>"
-_ARROW = pa.list_(pa.struct([("surface", pa.string()), ("tags", pa.list_(pa.string())), ("role", pa.string())]))
+#: Bytes of text whose segments are made at once; distinct words whose segments a task keeps at most.
+SLICE_BYTES, WORDS_KEPT = 1_000_000, 50_000
 
 # The letters of a Turkish word.
 TURKISH_WORD = re.compile(r"[A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû']+")
+TURKISH_PARTS = re.compile(f"({TURKISH_WORD.pattern})")
 # Turkish case suffixes and their tags, in the order in which they are tried.
 TURKISH_CASES = [
     (["lardan", "lerden"], ["AFFIX=PL", "CASE=ABL"]),
@@ -114,38 +119,81 @@ def turkish_rules(case_markers: bool, affix_tags: bool) -> list[tuple[str, list[
     return [(suffix, tags, role) for (suffixes, tags), role in listed for suffix in suffixes]
 
 
-def turkish_word(word: str, rules: list[tuple[str, list[str], str]]) -> list[tuple]:
-    """The stem and the suffixes after it; each suffix is taken once at most, and something of the word must stay."""
-    stem, low, found = word, word.lower(), []
-    for suffix, tags, role in rules:
-        n = len(suffix)
-        if low.endswith(suffix) and len(low) > n:
-            found.append((stem[-n:], tags, role))
-            stem, low = stem[:-n], low[:-n]
-    return [(stem, [], None), *reversed(found)] if found and stem else [(word, [], None)]
-
-
-def turkish_segments(text: str, rules: list[tuple[str, list[str], str]]) -> list[tuple]:
-    out, at = [], 0
-    for m in TURKISH_WORD.finditer(text):
-        if m.start() > at:
-            out.append((text[at : m.start()], [], None))
-        out += turkish_word(m[0], rules)
-        at = m.end()
-    if at < len(text):
-        out.append((text[at:], [], None))
+def by_last_letter(rules: list[tuple[str, list[str], str]]) -> dict[str, list[tuple[int, str]]]:
+    out: dict[str, list[tuple[int, str]]] = {}
+    for i, (suffix, _, _) in enumerate(rules):
+        out.setdefault(suffix[-1], []).append((i, suffix))
     return out
 
 
+def turkish_word(word: str, rules: dict[str, list[tuple[int, str]]]) -> tuple[list[str], list[int | None]]:
+    """The stem and the suffixes after it, and the number of each one's rule; rules, by last letter, are tried in their order, each suffix
+    once at most, and something of the word must stay."""
+    stem, low, found, after = word, word.lower(), [], -1
+    while True:
+        for i, suffix in rules.get(low[-1], ()):
+            if i > after and low.endswith(suffix) and len(low) > len(suffix):
+                break
+        else:
+            break
+        found.append((stem[-len(suffix) :], i))
+        stem, low, after = stem[: -len(suffix)], low[: -len(suffix)], i
+    return ([stem, *(s for s, _ in reversed(found))], [None, *(i for _, i in reversed(found))]) if found and stem else ([word], [None])
+
+
+class Turkish:
+    """Segments of texts as Arrow columns. Words and what is between them are looked up in the distinct ones of a slice; tags and roles go
+    by the number of their rule."""
+
+    def __init__(self, rules: list[tuple[str, list[str], str]]) -> None:
+        self.rules, self.last = rules, by_last_letter(rules)
+        self.tags = pa.array([*(tags for _, tags, _ in rules), []], pa.list_(pa.string()))
+        self.roles = pa.array([*(role for _, _, role in rules), None], pa.string())
+        self.kept: dict[str, tuple[list[str], list[int | None]]] = {}
+
+    def part(self, part: str) -> tuple[list[str], list[int | None]]:
+        if not TURKISH_WORD.match(part):
+            return ([part], [None]) if part else ([], [])
+        if part not in self.kept:
+            if len(self.kept) >= WORDS_KEPT:
+                self.kept.clear()
+            self.kept[part] = turkish_word(part, self.last)
+        return self.kept[part]
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        codes: dict[str, int] = defaultdict(lambda: len(codes))
+        places: list[int] = []
+        ends = [0]
+        for text in texts:
+            places += [codes[p] for p in TURKISH_PARTS.split(text.as_py() or "")]
+            ends.append(len(places))
+        found = [self.part(p) for p in codes]
+        of_place = pa.array(places, pa.int32())
+        surfaces = pa.array([x for x, _ in found], pa.list_(pa.string())).take(of_place)
+        rules = pc.fill_null(pa.array([x for _, x in found], pa.list_(pa.int32())).take(of_place).flatten(), len(self.rules))
+        bounds = np.concatenate([[0], np.cumsum(np.array(surfaces.value_lengths(), np.int32))])[ends].astype(np.int32)
+        parts = pa.StructArray.from_arrays([surfaces.flatten(), self.tags.take(rules), self.roles.take(rules)], names=["surface", "tags", "role"])
+        return pa.ListArray.from_arrays(pa.array(bounds), parts)
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have SLICE_BYTES together, give or take one text."""
+    ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 @plugin("tr")
 def turkish(docs: DataFrame, case_markers: bool = True, affix_tags: bool = True) -> DataFrame:
     rules = turkish_rules(case_markers, affix_tags)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [[{"surface": s, "tags": t, "role": r} for s, t, r in turkish_segments(x or "", rules)] for x in b.column(names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _ARROW)], names=[*names, "segments"])
+        cut, at = Turkish(rules), names.index("text")
+        for b in (x for batch in batches for x in slices(batch, at)):
+            yield pa.RecordBatch.from_arrays([*b.columns, cut(b.column(at))], names=[*names, "segments"])
 
     make_importable(docs.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
