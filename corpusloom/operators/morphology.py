@@ -14,11 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.batches import slices
 from corpusloom.session import make_importable
 
 SEGMENTS = "array<struct<surface:string,tags:array<string>,role:string>>"
-#: Bytes of text whose segments are made at once; distinct words whose segments a task keeps at most.
-SLICE_BYTES, WORDS_KEPT = 1_000_000, 50_000
+#: Distinct words whose segments a task keeps at most.
+WORDS_KEPT = 50_000
 
 # The letters of a Turkish word.
 TURKISH_WORD = re.compile(r"[A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû']+")
@@ -176,15 +177,6 @@ class Turkish:
         return pa.ListArray.from_arrays(pa.array(bounds), parts)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices whose texts have SLICE_BYTES together, give or take one text."""
-    ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
-    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
-    for start, end in zip(cuts, cuts[1:], strict=False):
-        if end > start:
-            yield batch.slice(start, end - start)
-
-
 @plugin("tr")
 def turkish(docs: DataFrame, case_markers: bool = True, affix_tags: bool = True) -> DataFrame:
     rules = turkish_rules(case_markers, affix_tags)
@@ -192,7 +184,7 @@ def turkish(docs: DataFrame, case_markers: bool = True, affix_tags: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, at = Turkish(rules), names.index("text")
-        for b in (x for batch in batches for x in slices(batch, at)):
+        for b in slices(batches, at):
             yield pa.RecordBatch.from_arrays([*b.columns, cut(b.column(at))], names=[*names, "segments"])
 
     make_importable(docs.sparkSession)

@@ -49,3 +49,24 @@ def test_segments_of_a_large_batch(spark, sf, name, monkeypatch):
     finally:
         tracemalloc.stop()
     assert n == 1000 and most < 60_000_000
+
+
+@pytest.mark.parametrize("name", ["bpe_merges_3"])
+def test_batches_of_tokens_are_small(spark, sf, name, monkeypatch):
+    """Partitions of 2 MB of text; sequences of integers would make batches of 8 MB of them."""
+    kind = type(spark.range(0))
+    plain = kind.mapInArrow
+
+    def watched(f):
+        def run(batches):
+            def small(b):
+                if b.nbytes > 5_000_000:
+                    raise ValueError(f"a batch of {b.nbytes} bytes")
+                return b
+
+            return f(map(small, batches))
+
+        return run
+
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: plain(self, watched(f), *a, **b))
+    assert catalogue.queries()[name](spark, sf).count() > 0
