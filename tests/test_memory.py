@@ -51,7 +51,7 @@ def test_segments_of_a_large_batch(spark, sf, name, monkeypatch):
     assert n == 1000 and most < 60_000_000
 
 
-@pytest.mark.parametrize("name", ["bpe_merges_3", "bpe_tokens_after_3", "piece_table"])
+@pytest.mark.parametrize("name", ["bpe_merges_3", "bpe_tokens_after_3", "piece_table", "hybrid_cycle"])
 def test_batches_of_tokens_are_small(spark, sf, name, monkeypatch):
     """Partitions of 2 MB of text; sequences of integers would make batches of 8 MB of them."""
     kind = type(spark.range(0))
