@@ -34,7 +34,7 @@ def captured(spark, sf, name, monkeypatch):
     return found
 
 
-@pytest.mark.parametrize("name", ["tr_suffixes", "morph_purity"])
+@pytest.mark.parametrize("name", ["tr_suffixes", "morph_purity", "recompose"])
 def test_segments_of_a_large_batch(spark, sf, name, monkeypatch):
     run = captured(spark, sf, name, monkeypatch)[0]
     text = words(600)
