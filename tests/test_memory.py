@@ -70,3 +70,26 @@ def test_batches_of_tokens_are_small(spark, sf, name, monkeypatch):
 
     monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: plain(self, watched(f), *a, **b))
     assert catalogue.queries()[name](spark, sf).count() > 0
+
+
+def test_merged_sequences_stay_in_the_worker(spark, sf, monkeypatch):
+    """What bpe_tokens_after_3 gets back is a row of sums for each document, not its sequences."""
+    run = captured(spark, sf, "bpe_tokens_after_3", monkeypatch)[-1]
+    text = words(2_000).encode()
+    ids, texts = list(range(300)), [*[text] * 297, None, b"", b"zz"]
+    out = pa.Table.from_batches(run(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.binary())], names=["doc_id", "toks"])])))
+    assert out.nbytes < 30_000 and out["doc_id"].to_pylist() == ids
+    n, sums = out["n_tokens"].to_pylist(), out["token_sum"].to_pylist()
+    assert n[-3:] == [0, 0, 2] and sums[-3:] == [0, 0, 244]
+    assert len(set(n[:-3])) == len(set(sums[:-3])) == 1 and 0 < n[0] < len(text)
+
+
+def test_totals_are_those_of_the_sequences(spark):
+    from corpusloom.operators import bpe
+
+    rng = random.Random(5)
+    seqs = spark.createDataFrame([(i, [rng.randrange(3) for _ in range(rng.randrange(60))]) for i in range(50)], "doc_id bigint, toks array<int>")
+    rules = [(0, 0, 3), (3, 1, 4), (4, 4, 5)]
+    for how in ("greedy", "collapse"):
+        whole = {r["doc_id"]: (len(r["toks"]), sum(r["toks"])) for r in bpe.apply(seqs, rules, how).collect()}
+        assert {r["doc_id"]: (r["n_tokens"], r["token_sum"]) for r in bpe.totals(seqs, rules, how).collect()} == whole
